@@ -41,3 +41,16 @@ def test_query_columns(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode(documents(spark, []), PATH).count() == 0
     assert bpe.encode(documents(spark, ["a", "a"], ids=[None, None]), PATH).count() == 2
+
+
+def test_quick_encoder_and_decoder_equal_the_library():
+    import random
+
+    tok, r = bpe.tokenizer(PATH), random.Random(3)
+    assert bpe.vocabulary(PATH)[3] is not None
+    letters = "  \n\t\r'stvemldr.,!#$0123456789abcXYZéßÿŁĳ"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(200))) for _ in range(3000)]
+    got = bpe.encode_texts(texts, PATH)
+    assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    odd = [np.array([r.randrange(50257) for _ in range(r.randrange(30))], np.uint32) for _ in range(300)]
+    assert bpe.decode_ids(odd, PATH) == [tok.decode(o.tolist(), skip_special_tokens=False) for o in odd]

@@ -15,6 +15,8 @@ Texts are independent: nothing is shuffled, a batch's memory is bounded, and a l
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from ..functions.packaging import ship
 
 #: Texts of more characters are cut.
-PIECE = 1 << 14
+PIECE = 1 << 15
 #: Characters of a join's first window on each side, and how near the cut a left boundary may lie.
 WINDOW = 128
 #: Characters of texts that are encoded together.
@@ -43,6 +45,50 @@ def tokenizer(path: str):
     return found
 
 
+#: Characters on which all Unicode tables and both regular-expression engines agree: printable ASCII, tab, line ends and
+#: Latin letters with marks.
+PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00c0-\\u017f]*")
+#: How a byte-level vocabulary splits a text into pretokens. Fixed value.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
+    """All tokens' bytes end to end, each id's start and length in them, and a quicker encoder of the same vocabulary.
+
+    The encoder is None unless the file is a plain byte-level BPE in which each merge makes the next higher id, so that ids
+    rank the merges.
+    """
+    tok, alphabet = tokenizer(path), _byte_alphabet()
+    spec = json.loads(tok.to_str())
+    size = tok.get_vocab_size(with_added_tokens=True)
+    texts = [tok.id_to_token(i) or "" for i in range(size)]
+    as_bytes = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in texts]
+    lengths = np.array([len(b) for b in as_bytes], np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", [])]
+    base = size - len(tok.get_added_tokens_decoder()) - len(merges)
+    pre = spec["pre_tokenizer"] or {}
+    plain = spec["model"]["type"] == "BPE" and spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["post_processor"] is None
+    plain = plain and not spec["model"].get("ignore_merges") and base == 256 and all(texts[256 + k] == a + b for k, (a, b) in enumerate(merges))
+    quick = None
+    if plain:
+        try:
+            import tiktoken
+
+            quick = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks={as_bytes[i]: i for i in range(256 + len(merges))}, special_tokens={})
+        except ImportError:
+            pass
+    return np.frombuffer(b"".join(as_bytes), np.uint8), starts, lengths, quick
+
+
 class Piece:
     """A text with its ids, the character position of each id's start and which ids start a pretoken."""
 
@@ -120,13 +166,22 @@ class _Join:
 
 
 def encode_texts(texts: list[str], path: str, piece_chars: int = PIECE) -> list[np.ndarray]:
-    """The ids of each text, as Tokenizer.encode(text, add_special_tokens=False) gives them."""
-    tok = tokenizer(path)
+    """The ids of each text, as Tokenizer.encode(text, add_special_tokens=False) gives them.
+
+    Short texts of PLAIN characters without special tokens take the quicker encoder, all others the tokenizer itself.
+    """
+    tok, quick = tokenizer(path), vocabulary(path)[3]
     added = tok.get_added_tokens_decoder()
     special = frozenset(added)
     reach = max([16, *(len(t.content) + 2 for t in added.values())])
     out: list[np.ndarray | None] = [None] * len(texts)
     short = [i for i, t in enumerate(texts) if len(t) <= piece_chars]
+    if quick:
+        names = [t.content for t in added.values()]
+        easy = [i for i in short if PLAIN.fullmatch(texts[i]) and not any(x in texts[i] for x in names)]
+        for i in easy:
+            out[i] = quick.encode_to_numpy(texts[i], disallowed_special=())
+        short = sorted(set(short) - set(easy))
     for i, e in zip(short, tok.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
         out[i] = np.array(e.ids, np.uint32)
     rows: dict[int, list] = {}
@@ -154,8 +209,17 @@ def encode_texts(texts: list[str], path: str, piece_chars: int = PIECE) -> list[
 
 
 def decode_ids(ids: list[np.ndarray], path: str) -> list[str]:
-    """Tokenizer.decode(ids, skip_special_tokens=False) for each."""
-    return tokenizer(path).decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    """What Tokenizer.decode(ids, skip_special_tokens=False) gives for each: the tokens' bytes, as UTF-8."""
+    table, starts, lengths, quick = vocabulary(path)
+    if quick is None:
+        return tokenizer(path).decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    out = []
+    for own in ids:
+        n = lengths[own]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[own] - (ends - n), n)
+        out.append(table[at].tobytes().decode("utf-8", "replace"))
+    return out
 
 
 def _slices(texts: list[str]) -> Iterator[slice]:
