@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, outliers, secretscan, sharding
+from . import bpe, fixity, jaccard, outliers, secretscan, sharding
+from .common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,31 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
 
 
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages laid out as archives, against a replica in which some records are damaged or lost."""
+    pages = _table(spark, sf_dir, "pages")
+    first = materialize(fixity.page_records(pages), "records")
+    damaged = F.when(F.col("page_id") % 53 == 7, F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    layout = first.filter("page_id % 59 <> 11 or page_id is null")
+    other = fixity.page_records(pages.withColumn("html", damaged)).select("page_id", F.col("length").alias("l"), F.col("hash").alias("h"))
+    second = materialize(layout.select("page_id", "archive", "offset").join(other, "page_id").select("archive", "offset", F.col("l").alias("length"), F.col("h").alias("hash")), "replica")
+    found = fixity.audit(first.drop("page_id"), second)
+    return first.join(found, ["archive", "offset"], "left").select(
+        "page_id", "archive", F.col("offset").alias("rec_offset"), F.col("length").alias("rec_length"), F.col("hash").alias("rec_sha256"), F.coalesce("status", F.lit("ok")).alias("status")
+    )
+
+
+OP2_SQL = """
+WITH r AS (SELECT page_id, CAST(floor(page_id / 256) AS BIGINT) AS archive,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+    || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages)
+SELECT page_id, archive,
+    CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rec_offset,
+    CAST(strlen(rec) AS BIGINT) AS rec_length, sha256(rec) AS rec_sha256,
+    CASE WHEN page_id % 59 = 11 THEN 'missing' WHEN page_id % 53 = 7 THEN 'corrupt' ELSE 'ok' END AS status
+FROM r"""
+
+
 def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), default_tokenizer(), keep_ids=False)
 
@@ -54,14 +80,29 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_robust_outliers": op1_robust_outliers,
+        "op2_merkle_audit": op2_merkle_audit,
         "op3_tree_bpe": op3_tree_bpe,
         "op6_secret_scan": op6_secret_scan,
         "op9_external_shuffle": op9_external_shuffle,
+        "op10_jaccard_components": op10_jaccard_components,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_merkle_audit": OP2_SQL, "op10_jaccard_components": OP10_SQL}
