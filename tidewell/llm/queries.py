@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fixity, jaccard, outliers, secretscan, sharding
+from . import bpe, decontam, fixity, jaccard, outliers, paragraphs, secretscan, sharding
 from .common import materialize
 
 
@@ -67,6 +67,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered_words", "item_words", F.round(F.col("covered_words") / F.col("item_words"), 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
+def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.external_shuffle(_table(spark, sf_dir, "documents"), shards=16)
     return dealt.select(
@@ -99,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_merkle_audit": op2_merkle_audit,
         "op3_tree_bpe": op3_tree_bpe,
         "op6_secret_scan": op6_secret_scan,
+        "op7_string_tiling": op7_string_tiling,
+        "op8_paragraph_minhash": op8_paragraph_minhash,
         "op9_external_shuffle": op9_external_shuffle,
         "op10_jaccard_components": op10_jaccard_components,
     }
