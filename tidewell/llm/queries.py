@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fixity, jaccard, outliers, paragraphs, secretscan, sharding
+from . import bpe, decontam, fixity, jaccard, langid, mil, outliers, paragraphs, secretscan, sharding
 from .common import materialize
 
 
@@ -56,6 +56,15 @@ def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), default_tokenizer(), keep_ids=False)
 
 
+def op4_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep_attention=False)
+
+
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their declared language, and their source as the host."""
+    return langid.identify(_table(spark, sf_dir, "documents"), F.col("lang"), F.col("source"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -107,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_robust_outliers": op1_robust_outliers,
         "op2_merkle_audit": op2_merkle_audit,
         "op3_tree_bpe": op3_tree_bpe,
+        "op4_attention_mil": op4_attention_mil,
+        "op5_language_fusion": op5_language_fusion,
         "op6_secret_scan": op6_secret_scan,
         "op7_string_tiling": op7_string_tiling,
         "op8_paragraph_minhash": op8_paragraph_minhash,
