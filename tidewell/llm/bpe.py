@@ -255,7 +255,8 @@ def encode(docs: DataFrame, path: str, piece_chars: int = PIECE, keep_ids: bool
                     "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
                 }
                 if keep_ids:
-                    columns["ids"] = pa.array([t.tolist() for t in tokens], pa.list_(pa.int32()))
+                    ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens).astype(np.int32)))
                 if keep_text:
                     columns["decoded"] = pa.array(decoded, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
