@@ -109,11 +109,10 @@ def beta_mean(hits: Column, waste: Column) -> Column:
     return (hits + 1.0) / (hits + waste + 2.0)
 
 
-def wilson_low(hits: Column, total: Column, z: float = 1.645) -> Column:
-    """Lower bound of a share; 0 without observations. Counts may be fractions."""
-    p = hits / F.when(total > 0, total)
-    low = (p + z * z / (2 * total) - z * F.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
-    return F.when(total > 0, F.greatest(low, F.lit(0.0))).otherwise(0.0)
+def wilson_low(mean: Column, n: Column, z: float = 1.645) -> Column:
+    """Lower bound of a mean of n observations, which may be fractions; 0 without observations."""
+    low = (mean + z * z / (2 * n) - z * F.sqrt(mean * (1 - mean) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return F.when(n > 0, low).otherwise(0.0)
 
 
 def memory_freshness(created: Column, updated: Column, verified: Column, expires: Column, volatility: Column, kind: Column, now: Column) -> Column:
