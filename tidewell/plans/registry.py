@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval, usage
+from . import retrieval, sessions, usage
 
-_PLANS = (retrieval, usage)
+_PLANS = (retrieval, usage, sessions)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
