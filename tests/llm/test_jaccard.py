@@ -62,6 +62,12 @@ def test_null_and_repeated_ids(spark):
     run(spark, [t, t, u, u, u + " x", prose(3, 9), None], [5, None, None, None, 9, None, None])
 
 
+def test_one_id_with_two_texts(spark):
+    t, u = prose(1, 50), prose(2, 50)
+    got = {(x.doc_id, x.component_id) for x in jaccard.jaccard_components(documents(spark, [t, u, u + " x", t], ids=[5, 5, 7, 3])).collect()}
+    assert got == {(5, 3), (5, 5), (7, 5), (3, 3)}
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(documents(spark, [])).count() == 0
 

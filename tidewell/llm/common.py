@@ -38,6 +38,12 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM find out which exchanges are no longer referenced, so that Spark deletes their files: it does so
+    when objects are collected, which on an idle driver may be long after a large table was materialised."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_checked(df: DataFrame, row_bytes: int) -> DataFrame:
     """A broadcast hint if counting shows that `df` (a materialised table) stays within BROADCAST_BYTES, else `df` as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
@@ -52,7 +58,3 @@ def words(text: Column) -> Column:
     """The maximal runs of characters other than WORD_SPACE, in order; null gives an empty array."""
     spaced = F.translate(F.coalesce(text, F.lit("")), WORD_SPACE[1:], " " * (len(WORD_SPACE) - 1))
     return F.array_remove(F.split(spaced, " "), "")
-
-
-def rows_total(df: DataFrame) -> int:
-    return df.count()

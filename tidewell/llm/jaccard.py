@@ -10,8 +10,7 @@ The order: shingles are ranked by hash, and those that more than COMMON distinct
 passage or line that many documents share makes no region unless a document has little else. Shingles with the upper
 1 - LOW of hashes rank last and are not counted: a document's first shingles hardly ever reach them.
 
-What is exchanged: a row per low shingle and distinct set. Copies of a set within a task are dropped before, others when
-their sets are reduced to one representative.
+What is exchanged: a row per low shingle and distinct set. Copies are dropped before, by the digests of their sets.
 """
 
 from __future__ import annotations
@@ -21,19 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packaging import ship
 from . import kernel, metricjoin
-from .common import BROADCAST_BYTES, materialize
+from .common import BROADCAST_BYTES, materialize, release
 
 LOW = 0.6
 COMMON = 16
 CLASSES = 64
+#: Sets of so many shingles get a second sketch of so many classes.
+LARGE, WIDE = 600, 1024
 _CUT = int(LOW * 2**63)
-#: Digests of sets that a task remembers, to drop copies.
-REMEMBER = 200_000
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -58,57 +57,76 @@ def _heads(n: np.ndarray) -> np.ndarray:
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, low, digest): size of the set, how many of its shingles are low, a 128-bit digest of the set."""
+    """(doc_id, n, low, digest, sketch, wide): size of the set, how many of its shingles are low, a 128-bit digest of the set and
+    its counts by class of hash, of large sets also by finer classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.chunks(batch):
                 values, at = _sets(part)
                 below = np.concatenate([[0], np.cumsum(values < _CUT)])[at]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(np.diff(at)), "low": pa.array(np.diff(below)), "digest": pa.array(_digests(values, at), pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": part.column("doc_id"), "n": pa.array(np.diff(at)), "low": pa.array(np.diff(below)), "digest": pa.array(_digests(values, at), pa.binary()), "sketch": kernel.sketches(values, at, CLASSES), "wide": kernel.sketches(values, at, WIDE, LARGE)}
+                )
 
     ship(docs.sparkSession)
-    return _documents(docs).mapInArrow(run, "doc_id long, n long, low long, digest binary")
+    return _documents(docs).mapInArrow(run, "doc_id long, n long, low long, digest binary, sketch array<tinyint>, wide array<tinyint>")
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """(shingle, doc_id, place): each set's low shingles by hash, more only where these are too few. One copy per task."""
+def _ranked(keyed: DataFrame) -> DataFrame:
+    """(shingle, node, place): each set's low shingles by hash, more only where these are too few. `keyed`: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
             for part in kernel.chunks(batch):
                 values, at = _sets(part)
                 n = np.diff(at)
                 below = np.concatenate([[0], np.cumsum(values < _CUT)])[at]
                 take = np.maximum(np.diff(below), _heads(n))
-                for i, d in enumerate(_digests(values, at)):
-                    if d in seen:
-                        take[i] = 0
-                    elif len(seen) < REMEMBER:
-                        seen.add(d)
                 place = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
                 picked = values[np.repeat(at[:-1], take) + place]
-                ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), take)))
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(picked.view(np.int64)), "doc_id": ids, "place": pa.array(place.astype(np.int32))})
+                nodes = part.column("node").take(pa.array(np.repeat(np.arange(len(n)), take)))
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(picked.view(np.int64)), "node": nodes, "place": pa.array(place.astype(np.int32))})
 
-    return _documents(docs).mapInArrow(run, "shingle long, doc_id long, place int")
+    return keyed.mapInArrow(run, "shingle long, node long, place int")
 
 
-def _full(docs: DataFrame) -> DataFrame:
-    """(node, n, sketch, members) of documents."""
+def _members(keyed: DataFrame) -> DataFrame:
+    """(node, members): the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.chunks(batch):
                 values, at = _sets(part)
-                n = np.diff(at)
-                row = np.repeat(np.arange(len(n)), n)
-                counts = np.bincount(row * CLASSES + (values % np.uint64(CLASSES)).astype(np.int64), minlength=len(n) * CLASSES).clip(max=32000).astype(np.int16)
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, CLASSES, dtype=np.int32)), pa.array(counts))
-                yield pa.RecordBatch.from_pydict({"node": part.column("doc_id"), "n": pa.array(n), "sketch": sketch, "members": kernel.list_array(values, at)})
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "members": kernel.list_array(values, at)})
+
+    return keyed.mapInArrow(run, "node long, members array<long>")
+
+
+def _number(digest: str = "digest") -> Column:
+    """A negative key for sets whose documents have no id of their own."""
+    return -F.pmod(F.xxhash64(digest), F.lit(2**61)) - F.lit(2**61)
+
+
+def _keyed(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """(node, text): documents under their id; where it is null or belongs to several texts, under their set's number."""
+    rows = _documents(docs)
+    if odd is None:
+        return rows.select(F.col("doc_id").alias("node"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernel.chunks(batch):
+                values, at = _sets(part)
+                yield pa.RecordBatch.from_pydict({"text": part.column("text"), "digest": pa.array(_digests(values, at), pa.binary())})
+
+    plain = rows.join(odd, rows["doc_id"].eqNullSafe(odd["odd_id"]), "left_anti").select(F.col("doc_id").alias("node"), "text")
+    strange = rows.join(odd, rows["doc_id"].eqNullSafe(odd["odd_id"]), "left_semi").select("text").mapInArrow(run, "text string, digest binary")
+    return plain.union(strange.select(_number().alias("node"), "text"))
 
-    return _documents(docs).mapInArrow(run, "node long, n long, sketch array<short>, members array<long>")
+
+def _checked(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows * 16 <= BROADCAST_BYTES else df
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -116,66 +134,55 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     A null or empty text has an empty set and links with nothing; equal texts and repeated rows have one set and link with
     each other unless it is empty; rows with a null doc_id take part, and their component is that of the smallest id
-    reachable (null if there is none); an empty table gives an empty result. Other columns are not read.
+    reachable (null if there is none); rows that share an id but not the text are joined each by its own text; an empty
+    table gives an empty result. Other columns are not read.
     """
     sets = materialize(set_digests(docs), "sets")
-    # One representative per set. Rows without an id get a number of their own, below all ids.
-    own = F.when(F.min("doc_id").isNull(), -F.pmod(F.xxhash64("digest"), F.lit(2**61)) - F.lit(2**61)).otherwise(F.min("doc_id"))
-    reps = materialize(sets.filter("n > 0").groupBy("digest", "n", "low").agg(own.alias("node"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed")), "representatives")
-
-    usable = docs
-    if reps.filter("least is null").limit(1).count():  # texts that occur only without an id: give them their number
-        lost = sets.filter("doc_id is null").select("digest").distinct()
-        usable = _numbered(docs, lost)
-    ranked = _ranked(usable)
+    odd = sets.groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).filter("k > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"))
+    odd = materialize(odd, "odd-ids") if odd.limit(1).count() else None
+    key = F.col("doc_id")
+    if odd is not None:
+        sets = sets.join(odd, sets["doc_id"].eqNullSafe(odd["odd_id"]), "left")
+        key = F.when(F.col("doc_id").isNull() | F.col("odd_id").isNotNull(), _number()).otherwise(F.col("doc_id"))
+        sets = materialize(sets.withColumn("key", key).drop("odd_id"), "keyed-sets")
+    else:
+        sets = sets.withColumn("key", F.col("doc_id"))
+    # One node per set: one of its documents stands for the others.
+    reps = sets.filter("n > 0").groupBy("digest", "n", "low").agg(F.max("key").alias("node"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
+    reps = materialize(reps, "representatives")
+    others = sets.join(reps.select(F.col("node").alias("key")), "key", "left_anti").select(F.col("key").alias("node")).distinct()
+    others = materialize(others, "copies")
+    keyed = _keyed(docs, odd)
+    alone = keyed.join(_checked(others, others.count()), "node", "left_anti")
+
     held = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
-    shared = ranked.withColumn("held", held).filter("held > 1 and doc_id is not null").drop("held")
-    shared = materialize(shared, "shared")
-
-    # Copies of a set become its representative; what is left are shingles of two different sets or more.
-    named = sets.filter("doc_id is not null").select("doc_id", "digest").distinct()
-    to_node = named.join(reps.filter("least is not null").select("digest", "node", "n", "low"), "digest").select("doc_id", "node", "n", "low")
-    to_node = to_node.union(reps.filter("least is null").select(F.col("node").alias("doc_id"), "node", "n", "low"))
-    rows = shared.join(to_node, "doc_id").select("shingle", "node", "place", "n", "low").distinct()
-    rows = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("held > 1")
+    shared = materialize(_ranked(alone).withColumn("held", held).filter("held > 1"), "shared")
+    release(docs.sparkSession)
+    rows = shared.join(reps.select("node", "n", "low"), "node")
     heads = F.expr("n - (n * 3 + 3) div 4 + 1")
-    common = (F.col("held") > COMMON) & (F.col("place") < F.col("low"))
-    by_place = Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("common", common).withColumn("before", F.coalesce(F.sum(F.col("common").cast("int")).over(by_place), F.lit(0))).withColumn("commons", F.sum(F.col("common").cast("int")).over(Window.partitionBy("node")))
-    rank = F.when(F.col("place") >= F.col("low"), F.col("place")).when(F.col("common"), F.col("low") - F.col("commons") + F.col("before")).otherwise(F.col("place") - F.col("before"))
+    by_node = Window.partitionBy("node")
+    by_place = by_node.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("common", ((F.col("held") > COMMON) & (F.col("place") < F.col("low"))).cast("int"))
+    rows = rows.withColumn("before", F.coalesce(F.sum("common").over(by_place), F.lit(0))).withColumn("commons", F.sum("common").over(by_node))
+    rank = F.when(F.col("place") >= F.col("low"), F.col("place")).when(F.col("common") == 1, F.col("low") - F.col("commons") + F.col("before")).otherwise(F.col("place") - F.col("before"))
     rows = materialize(rows.filter(rank < heads).select(F.col("shingle").alias("region"), "node", (F.col("commons") / F.col("n")).alias("weight")), "prefixes")
+    release(docs.sparkSession)
 
-    members = materialize(metricjoin.distinct_regions(rows.select("region", "node")).select("region", "node"), "members")
-    wanted = materialize(members.select("node").distinct(), "wanted")
-    wanted_side = F.broadcast(wanted) if wanted.count() * 16 <= BROADCAST_BYTES else wanted
-    sets_of = _full(usable.join(wanted_side, F.col("doc_id") == F.col("node"), "left_semi")).dropDuplicates(["node"])
-    sets_of = materialize(sets_of, "full-sets")
+    members = materialize(metricjoin.distinct_regions(rows.select("region", "node").distinct()).select("region", "node"), "members")
     weights = rows.groupBy("node").agg(F.max("weight").alias("weight"))
-    nodes = materialize(sets_of.select("node", "n", "sketch").join(weights, "node"), "nodes")
-    roots = metricjoin.link(members, nodes, sets_of.select("node", "members"))
+    nodes = materialize(reps.select("node", "n", "sketch", "wide").join(weights, "node"), "nodes")
 
+    def fetch(asked: DataFrame) -> DataFrame:
+        return _members(keyed.join(_checked(asked, asked.count()), "node", "left_semi")).dropDuplicates(["node"])
+
+    roots = metricjoin.link(members, nodes, fetch)
     labels = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = materialize(labels.join(least, "root").select("digest", "component_id"), "labels")
-    out = sets.join(labels, "digest", "left")
+    out = sets.select("doc_id", "n", "digest").join(labels, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _numbered(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text), where texts whose set occurs only without an id carry the number of their representative."""
-    rows = _documents(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernel.chunks(batch):
-                values, at = _sets(part)
-                yield pa.RecordBatch.from_pydict({"text": part.column("text"), "digest": pa.array(_digests(values, at), pa.binary())})
-
-    unnamed = rows.filter("doc_id is null").mapInArrow(run, "text string, digest binary").join(lost, "digest", "left_semi")
-    number = -F.pmod(F.xxhash64("digest"), F.lit(2**61)) - F.lit(2**61)
-    return rows.filter("doc_id is not null").union(unnamed.select(number.alias("doc_id"), "text"))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` without the documents whose component has a smaller id; of rows that repeat the smallest id all stay."""
     found = jaccard_components(docs).select(F.col("doc_id").alias("__id"), "component_id").filter("component_id < __id").select("__id").distinct()

@@ -145,3 +145,19 @@ def text_shingles(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.n
 def list_array(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """An Arrow list<int64> over flat values, without copies per row."""
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def sketches(values: np.ndarray, at: np.ndarray, classes: int, least: int = 0) -> pa.Array:
+    """How many of each text's values fall into each class of hash, at most 127: list<int8>; null for texts of fewer than
+    `least` values."""
+    sizes = np.diff(at)
+    full = np.flatnonzero(sizes >= least)
+    row = np.repeat(np.arange(len(full)), sizes[full])
+    own = values if len(full) == len(sizes) else values[np.repeat(at[:-1][full] - (np.cumsum(sizes[full]) - sizes[full]), sizes[full]) + np.arange(len(row))]
+    counts = np.bincount(row * classes + (own % np.uint64(classes)).astype(np.int64), minlength=len(full) * classes).clip(max=127).astype(np.int8)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, classes, dtype=np.int32)), pa.array(counts))
+    if len(full) == len(sizes):
+        return lists
+    index = np.full(len(sizes), -1)
+    index[full] = np.arange(len(full))
+    return lists.take(pa.array(index, mask=index < 0))

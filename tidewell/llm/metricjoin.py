@@ -1,7 +1,7 @@
 """Joining sets within Jaccard distance 1 - THRESHOLD inside given regions, for connected components.
 
-Regions are groups of nodes such that linked nodes meet in one of them. Regions of few nodes are joined directly. In a larger
-one, pivots create Voronoi cells: every node's distance to each pivot is measured, nodes within the radius of a pivot are
+Regions are groups of nodes such that linked nodes meet in one of them. Regions of few nodes are joined directly. Nodes of
+larger ones are grouped anew, by the members that are rarest among them and by size. In what stays large, pivots create Voronoi cells: every node's distance to each pivot is measured, nodes within the radius of a pivot are
 linked to it, a node goes to the cell of its nearest pivot, and is replicated to the cell of each pivot that is at most twice
 the radius further away: by the triangle inequality two linked nodes then share the cell of either one's nearest pivot.
 Inside a cell, nodes that are linked to the pivot need not meet each other again; the ones near enough to the cell's other
@@ -14,10 +14,13 @@ distances per node, not its square. Sets that share no region are never compared
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import components
 
 #: Two sets link when THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
@@ -25,31 +28,44 @@ THRESHOLD = (75, 100)
 RADIUS = 1 - THRESHOLD[0] / THRESHOLD[1]
 #: Regions of at most so many nodes are joined directly.
 SMALL = 16
-PIVOTS = 12
-#: A region is not split if its cells together would have more than so many times its rows.
-SPLIT = 2.0
+PIVOTS, MOST_PIVOTS = 12, 768
+#: A region is not split if its cells together would have more than so many times its rows: cells never grow in sum.
+SPLIT = 1.0
 
 
 def _linked(shared: Column, na: Column, nb: Column) -> Column:
     return THRESHOLD[1] * shared >= THRESHOLD[0] * (na + nb - shared)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches allow to link. Sound: a sketch counts a set's members by class of hash, counts
-    are capped, so the sum of differences is at most the size of the symmetric difference."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    top, base = THRESHOLD
-    sized = pairs.join(a, "a").join(b, "b").filter((base * F.least("na", "nb") >= top * F.greatest("na", "nb")))
-    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    return sized.filter((base + top) * apart <= (base - top) * (F.col("na") + F.col("nb"))).select("a", "b")
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, na, nb, most, possible): how many members two sets can share at most, and whether they can link.
+
+    A sketch counts a set's members by class of hash (counts are capped), so the sum of differences is at most the size of
+    the symmetric difference: the triangle inequality again, with the classes as pivots. Large sets have a `wide` sketch of
+    more classes, for the pairs that the first one leaves.
+    """
+
+    def most(sketch: str) -> Column:
+        apart = F.aggregate(F.zip_with(f"{sketch}_a", f"{sketch}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        return F.least("na", "nb", F.expr("na + nb") - F.ceil((F.col("na") + F.col("nb") + apart) / 2))
+
+    def both(pairs: DataFrame, sketch: str) -> DataFrame:
+        sides = [nodes.filter(F.col(sketch).isNotNull()).select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col(sketch).alias(f"{sketch}_{x}")) for x in "ab"]
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", most(sketch).alias("most"))
+
+    possible = _linked(F.col("most"), F.col("na"), F.col("nb"))
+    first = materialize(both(pairs, "sketch"), "bounds")
+    again = both(first.filter(possible).select("a", "b"), "wide").select("a", "b", F.col("most").alias("wide_most"))
+    refined = first.join(again, ["a", "b"], "left").withColumn("most", F.coalesce("wide_most", "most")).drop("wide_most")
+    return refined.withColumn("possible", possible)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, na, nb) with exact counts."""
-    a = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    b = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    joined = pairs.join(a, "a").join(b, "b")
+    """(a, b, shared, na, nb) with exact counts. Only the sets that occur are moved."""
+    pairs = pairs.select("a", "b")
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = sets.join(some, "node", "left_semi")
+    joined = pairs.join(own.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(own.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     return joined.select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared"), F.size("ma").cast("long").alias("na"), F.size("mb").cast("long").alias("nb"))
 
 
@@ -71,67 +87,104 @@ def _open_regions(members: DataFrame) -> DataFrame:
     return members.join(whole.filter("comps > 1"), "region")
 
 
-def _direct(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) within regions of at most SMALL nodes, between different components."""
-    left = members.select("region", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    right = members.select("region", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "region").filter("a < b and ca <> cb").select("a", "b").distinct()
-    return _measured(_possible(pairs, nodes), sets).filter(_linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+def _direct(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) within regions of at most SMALL nodes, of different components, that may link."""
+    sized = members.join(nodes.select("node", "n"), "node")
+    left = sized.select("region", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    right = sized.select("region", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    alike = _linked(F.least("na", "nb"), F.col("na"), F.col("nb"))
+    pairs = left.join(right, "region").filter("a < b and ca <> cb").filter(alike).select("a", "b").distinct()
+    return _bounded(pairs, nodes).filter("possible").select("a", "b")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return _measured(pairs, sets).filter(_linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def link(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of nodes that link to another one, over links within the regions.
 
-    `members`: region, node (long); `nodes`: node, n, sketch (array of counts), weight (how central: higher first);
-    `sets`: node, members (array of distinct longs). All should be materialised.
+    `members`: region, node (long); `nodes`: node, n, sketch and wide (arrays of counts by class, the second one or null),
+    weight (how central: higher first); both materialised. `fetch`
+    gives the sets (node, members: array of distinct longs) of a table of nodes; it is asked once, for the nodes of pairs
+    that sizes and sketches allow to link and those of large regions.
     """
-    spark = members.sparkSession
     members = materialize(distinct_regions(members.select("region", "node").distinct()), "regions")
-    small = members.filter(F.col("size") <= SMALL).withColumn("comp", F.col("node"))
-    edges = materialize(_direct(small, nodes, sets), "links")
-    large = members.filter(F.col("size") > SMALL).select("region", "node")
+    first = materialize(_direct(members.filter(F.col("size") <= SMALL).withColumn("comp", F.col("node")), nodes), "candidates")
+    crowd = materialize(members.filter(F.col("size") > SMALL).select("node").distinct(), "crowd")
+    asked = materialize(first.select(F.col("a").alias("node")).union(first.select("b")).union(crowd).distinct(), "asked")
+    sets = materialize(fetch(asked), "members")
+    edges = materialize(_links(first, sets), "links")
+    release(members.sparkSession)
+    large = materialize(_banded(_rekeyed(sets.join(crowd, "node", "left_semi")), nodes), "bands")
     pivots = PIVOTS
-    roots = spark.createDataFrame([], "node long, root long")
-    while True:
-        if large.limit(1).count() == 0:
-            return components(edges)
+    while large.limit(1).count():
         roots = materialize(components(edges), "roots")
-        # Sets whose sizes differ by more than the threshold allows cannot link: regions are split into overlapping size bands.
-        band = F.floor(F.log("n") / F.lit(_log(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
-        banded = large.join(nodes.select("node", "n", "weight"), "node").withColumn("band", F.explode(F.array(band, band + 1)))
-        banded = banded.select(F.xxhash64("region", "band").alias("region"), "node", "weight")
-        banded = _with_roots(distinct_regions(banded).drop("size"), roots)
-        now = materialize(_open_regions(banded), "open")
-        edges = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_direct(now.filter(F.col("size") <= SMALL), nodes, sets)), "links")
+        now = materialize(_open_regions(_with_roots(distinct_regions(large).drop("size"), roots)), "open")
+        new = _links(_direct(now.filter(F.col("size") <= SMALL), nodes), sets)
+        edges = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new), "links")
         big = now.filter(F.col("size") > SMALL)
         # Pivots: central nodes, those outside the region's largest component first.
         order = Window.partitionBy("region").orderBy((F.col("comp") == F.col("main")).cast("int"), F.desc("weight"), "node")
-        chosen = materialize(big.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= pivots).select("region", F.col("node").alias("pivot")), "pivots")
+        chosen = materialize(big.join(nodes.select("node", "weight"), "node").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= pivots).select("region", F.col("node").alias("pivot")), "pivots")
         met = big.join(chosen, "region").filter("node <> pivot").select("region", "node", "pivot")
-        distances = _measured(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
-        distances = materialize(distances.select(F.col("a").alias("node"), F.col("b").alias("pivot"), _linked(F.col("shared"), F.col("na"), F.col("nb")).alias("star"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d")), "distances")
+        bounds = _bounded(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), nodes)
+        exact = _measured(bounds.filter("possible"), sets).select("a", "b", "shared")
+        distances = bounds.join(exact, ["a", "b"], "left").withColumn("at_most", F.coalesce("shared", "most"))
+        distances = materialize(
+            distances.select(
+                F.col("a").alias("node"),
+                F.col("b").alias("pivot"),
+                F.coalesce(_linked(F.col("shared"), F.col("na"), F.col("nb")), F.lit(False)).alias("star"),
+                (1 - F.col("at_most") / (F.col("na") + F.col("nb") - F.col("at_most"))).alias("least"),
+                F.when(F.col("shared").isNotNull(), 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).otherwise(F.lit(1.0)).alias("upper"),
+            ),
+            "distances",
+        )
         edges = edges.union(distances.filter("star").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         large = materialize(_cells(met, chosen, distances), "cells")
-        pivots = min(64, pivots * 2)
+        release(members.sparkSession)
+        pivots = min(MOST_PIVOTS, pivots * 4)
+    return components(edges)
+
+
+def _rekeyed(sets: DataFrame) -> DataFrame:
+    """New regions for the nodes of large ones: by the shingles that are rarest among these nodes.
+
+    In any order common to all, two linked sets of n members share one of their first n - ceil(0.75 n) + 1. With the rarest
+    first, sets that only have frequent members in common part ways.
+    """
+    top, base = THRESHOLD
+    rows = sets.select("node", F.size("members").cast("long").alias("n"), F.explode("members").alias("region"))
+    counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("held", "region"))
+    heads = F.expr(f"n - (n * {top} + {base - 1}) div {base} + 1")
+    return rows.join(counts, "region").withColumn("rank", rank).filter((F.col("rank") <= heads) & (F.col("held") > 1)).select("region", "node")
+
+
+def _banded(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Regions in overlapping bands of set sizes: sets whose sizes differ by more than the threshold allows cannot link."""
+    band = F.floor(F.log("n") / F.lit(math.log(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
+    some = distinct_regions(members).select("region", "node")
+    banded = some.join(nodes.select("node", "n"), "node").withColumn("band", F.explode(F.array(band, band + 1)))
+    return distinct_regions(banded.select(F.xxhash64("region", "band").alias("region"), "node")).select("region", "node")
 
 
 def _cells(met: DataFrame, chosen: DataFrame, distances: DataFrame) -> DataFrame:
-    """(region, node): the cells that go on. Pivots leave: all their links in the region are known."""
+    """(region, node): the cells that go on. Pivots leave: all their links in the region are known.
+
+    Distances that bounds rule out as links are not measured; a cell takes a node unless the least its distance can be is
+    beyond the window, so cells only grow by that.
+    """
     eps = 1e-9
     own = met.join(distances, ["node", "pivot"]).join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-    nearest = F.min("d").over(Window.partitionBy("region", "node"))
-    placed = own.withColumn("nearest", nearest).filter(F.col("d") <= F.col("nearest") + 2 * RADIUS + eps)
+    nearest = F.min("upper").over(Window.partitionBy("region", "node"))
+    placed = own.withColumn("nearest", nearest).filter(F.col("least") <= F.col("nearest") + 2 * RADIUS + eps)
     total = placed.groupBy("region").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("node").alias("rows"))
     placed = placed.join(total, "region")
     whole = placed.filter(F.col("copies") > SPLIT * F.col("rows")).select("region", "node").distinct()
-    split = placed.filter(F.col("copies") <= SPLIT * F.col("rows")).select(F.xxhash64("region", "pivot").alias("region"), "node", "d", "star")
+    split = placed.filter(F.col("copies") <= SPLIT * F.col("rows")).select(F.xxhash64("region", "pivot").alias("region"), "node", "least", "star")
     # Within a cell: if the nearest node that is not linked to the pivot lies at w, linked ones nearer than w - RADIUS are done.
-    least = split.filter(~F.col("star")).groupBy("region").agg(F.min("d").alias("w"))
-    kept = split.join(least, "region").filter(~F.col("star") | (F.col("d") >= F.col("w") - RADIUS - eps)).select("region", "node")
+    outside = split.filter(~F.col("star")).groupBy("region").agg(F.min("least").alias("w"))
+    kept = split.join(outside, "region").filter(~F.col("star") | (F.col("least") >= F.col("w") - RADIUS - eps)).select("region", "node")
     return whole.union(kept)
-
-
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
