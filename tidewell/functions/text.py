@@ -165,7 +165,7 @@ def escape_markers(text: Column | str, opening: str = BLOCK_OPEN, closing: str =
     out = _text(text)
     for marker in (closing, opening):
         pattern = "(?iu)" + "".join(f"\\x{{{ord(c):x}}}" for c in marker)
-        out = F.regexp_replace(out, F.lit(pattern), F.lit("[\\\\\\\\" + marker[1:]))
+        out = F.regexp_replace(out, F.lit(pattern), F.lit("[\\\\" + marker[1:]))
     return out
 
 

@@ -45,9 +45,9 @@ def pack(ranked: DataFrame, budget: int) -> DataFrame:
 
     `ranked`: query_id, scope, id, score, bytes, rank; a query's candidates are as few as its top-k.
     """
-    item = F.struct("rank", "id", "bytes", F.octet_length(F.format_string("--- slice %d (score=%.2f) ---\n", F.col("id"), F.col("score"))).alias("head"))
+    item = F.struct("rank", "id", F.col("bytes").cast("long").alias("bytes"), F.octet_length(F.format_string("--- slice %d (score=%.2f) ---\n", F.col("id"), F.col("score"))).alias("head"))
     lists = ranked.groupBy("query_id", "scope").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(OPEN_BYTES).alias("used"), F.array().cast("array<bigint>").alias("ids"), F.lit(0).alias("dropped"))
+    start = F.struct(F.lit(OPEN_BYTES).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"), F.lit(0).alias("dropped"))
 
     def step(s, x):
         full = (s["used"] + x["bytes"] + CLOSE_BYTES + RESERVE_BYTES > budget) & (F.size(s["ids"]) > 0)
