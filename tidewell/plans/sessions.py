@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import catalog, decide, learning, sessions
 from ..sources.tables import events, questions, read, slices
+from .retrieval import _BM25, _FNV
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,4 +284,17 @@ SELECT root, count(*) AS members, max(depth) AS depth FROM r GROUP BY root""",
     "p09_search": "SELECT o_orderkey, c_name, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE lower(c_name) LIKE '%00001%' AND o_orderstatus IN ('O', 'F')",
     "f13_edit_similarity": "WITH n AS (SELECT n_name, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS next_name FROM nation) SELECT n_name, next_name, round(1e0 - levenshtein(n_name, next_name) / greatest(length(n_name), length(next_name)), 6) AS similarity FROM n WHERE next_name IS NOT NULL",
     "r30_listing": f"WITH {_S} SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY activity DESC, id) AS rank, id, topic, activity FROM s WHERE health = 'ok' AND NOT recovered QUALIFY rank <= 10",
+    "f15_slice_ids": """WITH t AS (SELECT conv_id AS session, role, trim(text) AS content, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS turn_no FROM conversations),
+u AS (SELECT session, turn_no, substr(sha256('\\x00\\x01'::BLOB || encode(content)), 1, 16) AS slice_id, 'v-' || substr(sha256(content), 1, 16) AS replay FROM t WHERE role = 'user' AND content <> '') SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY session, slice_id ORDER BY turn_no) = 1""",
+    "a15_policy_eval": f"""WITH {_BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM bm), t AS (SELECT query_id, max(score) FILTER (r = 1) AS t1, max(score) FILTER (r = 2) AS t2, max(id) FILTER (r = 1) AS best FROM k WHERE r <= 2 GROUP BY query_id),
+z AS (SELECT t1, CASE WHEN t1 <= 0 OR t1 < 45e-2 THEN 'miss' WHEN t1 >= 7e-1 AND t1 - coalesce(t2, 0) >= 55e-2 * t1 THEN 'hit' ELSE 'grey' END AS zone, coalesce(quality, 0) <> 1 AS wrong FROM t LEFT JOIN labels ON doc_id = best)
+SELECT count(*) AS queries, count(*) FILTER (t1 >= 20) AS single_reuse, count(*) FILTER (t1 >= 20 AND wrong) AS single_wrong, count(*) FILTER (zone = 'hit') AS zoned_reuse, count(*) FILTER (zone = 'hit' AND wrong) AS zoned_wrong, count(*) FILTER (zone = 'grey') AS grey FROM z""",
+    "t02_adaptive": """WITH RECURSIVE e AS (SELECT user_id % 40 AS slice_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS i, event_type = 'error' AND user_id % 3 = 0 AS neg FROM events),
+f AS (SELECT slice_id, 0::BIGINT AS i, 0 AS pos, 0 AS neg, 0e0 AS ewma, 0e0 AS tau, false AS relaxed, 0 AS frozen FROM (SELECT DISTINCT slice_id FROM e)
+ UNION ALL SELECT slice_id, i, pos, neg, ewma, CASE WHEN ch THEN moved ELSE tau END, CASE WHEN ch THEN NOT up ELSE relaxed END, CASE WHEN ch THEN 60 ELSE greatest(frozen - 1, 0) END
+ FROM (SELECT *, frozen = 0 AND pos + neg >= 20 AND moved <> base AS ch FROM (SELECT *, least(greatest(CASE WHEN up THEN base + 5e-2 WHEN ewma < 2e-1 / 2 AND pos >= 20 THEN base - 5e-2 ELSE base END, 3e-1), 9e-1) AS moved FROM (SELECT *, ewma > 2e-1 AS up, CASE WHEN tau > 0 THEN tau ELSE 55e-2 END AS base FROM
+ (SELECT f.slice_id, e.i, f.pos + (NOT e.neg)::INT AS pos, f.neg + e.neg::INT AS neg, CASE WHEN e.neg THEN 1e-1 + 9e-1 * f.ewma ELSE 9e-1 * f.ewma END AS ewma, f.tau, f.relaxed, f.frozen FROM f JOIN e ON e.slice_id = f.slice_id AND e.i = f.i + 1)))))
+SELECT slice_id, pos, neg, round(ewma, 6) AS neg_ewma, round(tau, 6) AS tau_low, relaxed FROM f QUALIFY row_number() OVER (PARTITION BY slice_id ORDER BY i DESC) = 1""",
+    "f_text_forms": f"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}_]+'))::INT AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}_]+')))::INT AS n_terms, sha256(text) AS version,
+ {_FNV.format("(lang || ':' || source)")}::BIGINT AS fnv, length(trim(regexp_replace(text, '[\\t\\n\\f\\r ]+', ' ', 'g')))::INT AS n_normal, lower(lang) || '.' || lower(source) || '.x' AS subject FROM documents""",
 }
