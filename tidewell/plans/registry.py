@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import extraction, retrieval, sessions, usage
+from . import decisions, extraction, retrieval, sessions, usage
 
-_PLANS = (retrieval, usage, sessions, extraction)
+_PLANS = (retrieval, usage, sessions, extraction, decisions)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
