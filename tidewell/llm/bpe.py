@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.packaging import ship
+from . import kernel
 
 #: Texts of more characters are cut.
 PIECE = 1 << 15
@@ -264,4 +265,4 @@ def encode(docs: DataFrame, path: str, piece_chars: int = PIECE, keep_ids: bool
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(kernel.lean(run), schema)

@@ -145,7 +145,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> Dat
                 )
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, item_id long, covered_words long, item_words long, tiles array<struct<item_start:int,doc_start:int,length:int>>")
+    return docs.mapInArrow(kernel.lean(run), "doc_id long, item_id long, covered_words long, item_words long, tiles array<struct<item_start:int,doc_start:int,length:int>>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

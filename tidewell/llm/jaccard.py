@@ -70,7 +70,7 @@ def set_digests(docs: DataFrame) -> DataFrame:
                 )
 
     ship(docs.sparkSession)
-    return _documents(docs).mapInArrow(run, "doc_id long, n long, low long, digest binary, sketch array<tinyint>, wide array<tinyint>")
+    return _documents(docs).mapInArrow(kernel.lean(run), "doc_id long, n long, low long, digest binary, sketch array<tinyint>, wide array<tinyint>")
 
 
 def _ranked(keyed: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def _ranked(keyed: DataFrame) -> DataFrame:
                 nodes = part.column("node").take(pa.array(np.repeat(np.arange(len(n)), take)))
                 yield pa.RecordBatch.from_pydict({"shingle": pa.array(picked.view(np.int64)), "node": nodes, "place": pa.array(place.astype(np.int32))})
 
-    return keyed.mapInArrow(run, "shingle long, node long, place int")
+    return keyed.mapInArrow(kernel.lean(run), "shingle long, node long, place int")
 
 
 def _members(keyed: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _members(keyed: DataFrame) -> DataFrame:
                 values, at = _sets(part)
                 yield pa.RecordBatch.from_pydict({"node": part.column("node"), "members": kernel.list_array(values, at)})
 
-    return keyed.mapInArrow(run, "node long, members array<long>")
+    return keyed.mapInArrow(kernel.lean(run), "node long, members array<long>")
 
 
 def _number(digest: str = "digest") -> Column:
@@ -121,7 +121,7 @@ def _keyed(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"text": part.column("text"), "digest": pa.array(_digests(values, at), pa.binary())})
 
     plain = rows.join(odd, rows["doc_id"].eqNullSafe(odd["odd_id"]), "left_anti").select(F.col("doc_id").alias("node"), "text")
-    strange = rows.join(odd, rows["doc_id"].eqNullSafe(odd["odd_id"]), "left_semi").select("text").mapInArrow(run, "text string, digest binary")
+    strange = rows.join(odd, rows["doc_id"].eqNullSafe(odd["odd_id"]), "left_semi").select("text").mapInArrow(kernel.lean(run), "text string, digest binary")
     return plain.union(strange.select(_number().alias("node"), "text"))
 
 

@@ -111,7 +111,7 @@ def _text_evidence(rows: DataFrame, languages: list[str], table: np.ndarray) ->
 
     ship(rows.sparkSession)
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, declared string, suffix string, host string, domain string, pairs long, loglik array<double>")
+    return rows.mapInArrow(kernel.lean(run), f"doc_id {kind}, declared string, suffix string, host string, domain string, pairs long, loglik array<double>")
 
 
 def _normal(logs: Column) -> Column:

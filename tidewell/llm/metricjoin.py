@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ THRESHOLD = (75, 100)
 RADIUS = 1 - THRESHOLD[0] / THRESHOLD[1]
 #: Regions of at most so many nodes are joined directly.
 SMALL = 16
+#: Nodes of a region that are measured against its pivots in one task.
+BLOCK = 1024
+EPS = 1e-9
 PIVOTS, MOST_PIVOTS = 12, 768
 #: A region is not split if its cells together would have more than so many times its rows: cells never grow in sum.
 SPLIT = 1.0
@@ -117,32 +122,26 @@ def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Data
     edges = materialize(_links(first, sets), "links")
     release(members.sparkSession)
     large = materialize(_banded(_rekeyed(sets.join(crowd, "node", "left_semi")), nodes), "bands")
-    pivots = PIVOTS
+    pivots, searched = PIVOTS, False
     while large.limit(1).count():
         roots = materialize(components(edges), "roots")
         now = materialize(_open_regions(_with_roots(distinct_regions(large).drop("size"), roots)), "open")
         new = _links(_direct(now.filter(F.col("size") <= SMALL), nodes), sets)
         edges = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new), "links")
         big = now.filter(F.col("size") > SMALL)
-        # Pivots: central nodes, those outside the region's largest component first.
-        order = Window.partitionBy("region").orderBy((F.col("comp") == F.col("main")).cast("int"), F.desc("weight"), "node")
-        chosen = materialize(big.join(nodes.select("node", "weight"), "node").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= pivots).select("region", F.col("node").alias("pivot")), "pivots")
-        met = big.join(chosen, "region").filter("node <> pivot").select("region", "node", "pivot")
-        bounds = _bounded(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), nodes)
-        exact = _measured(bounds.filter("possible"), sets).select("a", "b", "shared")
-        distances = bounds.join(exact, ["a", "b"], "left").withColumn("at_most", F.coalesce("shared", "most"))
-        distances = materialize(
-            distances.select(
-                F.col("a").alias("node"),
-                F.col("b").alias("pivot"),
-                F.coalesce(_linked(F.col("shared"), F.col("na"), F.col("nb")), F.lit(False)).alias("star"),
-                (1 - F.col("at_most") / (F.col("na") + F.col("nb") - F.col("at_most"))).alias("least"),
-                F.when(F.col("shared").isNotNull(), 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).otherwise(F.lit(1.0)).alias("upper"),
-            ),
-            "distances",
-        )
-        edges = edges.union(distances.filter("star").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        large = materialize(_cells(met, chosen, distances), "cells")
+        # Pivots: at first central nodes; later only nodes outside the region's largest component. Once all of these have been
+        # pivots, the region's other nodes lie in that component and it is done.
+        if searched:
+            big = big.withColumn("outer", F.col("comp") != F.col("main"))
+        else:
+            big = big.withColumn("outer", F.lit(True))
+        searched = True
+        order = Window.partitionBy("region").orderBy(F.desc("outer"), F.desc("weight"), "node")
+        ranked = big.join(nodes.select("node", "weight"), "node").withColumn("at", F.row_number().over(order))
+        chosen = materialize(ranked.filter((F.col("at") <= pivots) & F.col("outer")).select("region", F.col("node").alias("pivot"), "comp"), "pivots")
+        met = materialize(_met(big, chosen, sets), "met")
+        edges = edges.union(met.select(F.col("node").alias("a"), F.explode("links").alias("b")))
+        large = materialize(_cells(met), "cells")
         release(members.sparkSession)
         pivots = min(MOST_PIVOTS, pivots * 4)
     return components(edges)
@@ -163,28 +162,96 @@ def _rekeyed(sets: DataFrame) -> DataFrame:
 
 
 def _banded(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Regions in overlapping bands of set sizes: sets whose sizes differ by more than the threshold allows cannot link."""
+    """Regions in overlapping bands of set sizes: sets whose sizes differ by more than the threshold allows cannot link.
+
+    Large regions whose most central node is the same are one region then: those of a group of near copies mostly overlap,
+    and a pair needs to meet only once.
+    """
     band = F.floor(F.log("n") / F.lit(math.log(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
-    some = distinct_regions(members).select("region", "node")
-    banded = some.join(nodes.select("node", "n"), "node").withColumn("band", F.explode(F.array(band, band + 1)))
-    return distinct_regions(banded.select(F.xxhash64("region", "band").alias("region"), "node")).select("region", "node")
+    some = distinct_regions(members).join(nodes.select("node", "n", "weight"), "node").withColumn("band", F.explode(F.array(band, band + 1)))
+    some = some.withColumn("region", F.xxhash64("region", "band"))
+    leads = some.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("weight", "node"))["node"].alias("lead")).filter("k > 1")
+    joined = some.join(leads, "region").withColumn("region", F.when(F.col("k") > SMALL, F.xxhash64("lead", "band")).otherwise(F.col("region")))
+    return distinct_regions(joined.select("region", "node").distinct()).select("region", "node")
 
 
-def _cells(met: DataFrame, chosen: DataFrame, distances: DataFrame) -> DataFrame:
-    """(region, node): the cells that go on. Pivots leave: all their links in the region are known.
+def _met(members: DataFrame, chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every node of a region against the region's pivots: region, node, pivot (whether it is one), copies (in how many cells
+    its windows lie), cells (pivot, d, star; empty if there are more than two) and links (pivots within the radius, one of
+    each other component).
 
-    Distances that bounds rule out as links are not measured; a cell takes a node unless the least its distance can be is
-    beyond the window, so cells only grow by that.
+    Members come in blocks of BLOCK, each with all pivots of its region; an inverted index over the pivots' members counts the
+    intersections, so no row is made for a pair.
     """
-    eps = 1e-9
-    own = met.join(distances, ["node", "pivot"]).join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-    nearest = F.min("upper").over(Window.partitionBy("region", "node"))
-    placed = own.withColumn("nearest", nearest).filter(F.col("least") <= F.col("nearest") + 2 * RADIUS + eps)
-    total = placed.groupBy("region").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("node").alias("rows"))
-    placed = placed.join(total, "region")
-    whole = placed.filter(F.col("copies") > SPLIT * F.col("rows")).select("region", "node").distinct()
-    split = placed.filter(F.col("copies") <= SPLIT * F.col("rows")).select(F.xxhash64("region", "pivot").alias("region"), "node", "least", "star")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ("region", "node", "pivot", "copies", "cells", "links")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: [] for n in names}, schema=schema)
+        nodes, own = left.column("node").to_numpy(), left.column("comp").to_numpy()
+        pivots, theirs = right.column("pivot").to_numpy(), right.column("pivot_comp").to_numpy()
+        values, at = _flat(left.column("members"))
+        pivot_values, pivot_at = _flat(right.column("pivot_members"))
+        order = np.argsort(pivot_values, kind="stable")
+        keys, owner = pivot_values[order], np.repeat(np.arange(len(pivots)), np.diff(pivot_at))[order]
+        low, high = np.searchsorted(keys, values, "left"), np.searchsorted(keys, values, "right")
+        hits = np.concatenate([[0], np.cumsum(high - low)])
+        np_, sizes = np.diff(pivot_at), np.diff(at)
+        is_pivot = np.isin(nodes, pivots)
+        copies, cells, links = [], [], []
+        start = 0
+        while start < len(nodes):
+            stop = start + 1
+            while stop < len(nodes) and hits[at[stop + 1]] - hits[at[start]] <= 4_000_000 and stop - start < 512:
+                stop += 1
+            a, b = at[start], at[stop]
+            n = (high - low)[a:b]
+            row = np.repeat(np.repeat(np.arange(stop - start), sizes[start:stop]), n)
+            index = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            shared = np.bincount(row * len(pivots) + owner[index], minlength=(stop - start) * len(pivots)).reshape(stop - start, len(pivots))
+            union = sizes[start:stop, None] + np_[None, :] - shared
+            d = 1 - shared / union
+            star = THRESHOLD[1] * shared >= THRESHOLD[0] * union
+            same = nodes[start:stop, None] == pivots[None, :]
+            d[same], star[same] = 9.0, False
+            window = d <= d.min(1, keepdims=True) + 2 * RADIUS + EPS
+            for i in range(stop - start):
+                near = np.flatnonzero(window[i])
+                copies.append(len(near))
+                cells.append([{"pivot": int(pivots[j]), "d": float(d[i, j]), "star": bool(star[i, j])} for j in near] if len(near) <= 2 and not is_pivot[start + i] else [])
+                linked = np.flatnonzero(star[i] & (theirs != own[start + i]))
+                _, first = np.unique(theirs[linked], return_index=True)
+                links.append([int(pivots[j]) for j in linked[first]])
+            start = stop
+        return pa.table({"region": left.column("region"), "node": left.column("node"), "pivot": is_pivot, "copies": copies, "cells": cells, "links": links}, schema=schema)
+
+    cell = pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64()), ("star", pa.bool_())]))
+    schema = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("pivot", pa.bool_()), ("copies", pa.int32()), ("cells", cell), ("links", pa.list_(pa.int64()))])
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).select("region", "block", "node", "comp").join(sets, "node")
+    spread = chosen.join(members.select("region", "size").distinct(), "region").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = sets.select(F.col("node").alias("pivot"), F.col("members").alias("pivot_members"))
+    spread = spread.select(F.col("region").alias("of_region"), F.col("block").alias("of_block"), "pivot", F.col("comp").alias("pivot_comp")).join(own, "pivot")
+    return rows.groupBy("region", "block").cogroup(spread.groupBy("of_region", "of_block")).applyInArrow(run, "region long, node long, pivot boolean, copies int, cells array<struct<pivot:long,d:double,star:boolean>>, links array<long>")
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists end to end and where each list starts."""
+    lists = lists.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
+
+
+def _cells(met: DataFrame) -> DataFrame:
+    """(region, node): the cells that go on. Pivots leave: all their links in the region are known."""
+    rest = met.filter("not pivot")
+    total = rest.groupBy("region").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"), F.max("copies").alias("most"))
+    total = total.withColumn("split", (F.col("copies") <= SPLIT * F.col("rows")) & (F.col("most") <= 2)).select("region", "split")
+    placed = rest.select("region", "node", "cells").join(total, "region")
+    whole = placed.filter("not split").select("region", "node")
+    split = placed.filter("split").select("region", "node", F.explode("cells").alias("c")).select(F.xxhash64("region", "c.pivot").alias("region"), "node", "c.d", "c.star")
     # Within a cell: if the nearest node that is not linked to the pivot lies at w, linked ones nearer than w - RADIUS are done.
-    outside = split.filter(~F.col("star")).groupBy("region").agg(F.min("least").alias("w"))
-    kept = split.join(outside, "region").filter(~F.col("star") | (F.col("least") >= F.col("w") - RADIUS - eps)).select("region", "node")
+    outside = split.filter(~F.col("star")).groupBy("region").agg(F.min("d").alias("w"))
+    kept = split.join(outside, "region").filter(~F.col("star") | (F.col("d") >= F.col("w") - RADIUS - EPS)).select("region", "node")
     return whole.union(kept)
