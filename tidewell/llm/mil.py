@@ -187,8 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     y = np.array([r.quality for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
-    features, at = passages(pa.array([r.text for r in rows], pa.string()))
-    return train(features, at, y)
+    parts = [passages(part.column("text")) for part in kernel.chunks(pa.RecordBatch.from_pydict({"text": pa.array([r.text for r in rows], pa.string())}))]
+    sizes = np.concatenate([np.diff(at) for _, at in parts])
+    return train(np.concatenate([f for f, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]), y)
 
 
 def score(docs: DataFrame, model: Model | None, keep_attention: bool = True) -> DataFrame:
@@ -212,7 +213,7 @@ def score(docs: DataFrame, model: Model | None, keep_attention: bool = True) ->
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = rows.mapInArrow(run, f"doc_id {kind}, score double" + ", attention array<double>" * keep_attention)
+    found = rows.mapInArrow(kernel.lean(run), f"doc_id {kind}, score double" + ", attention array<double>" * keep_attention)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), *["attention"] * keep_attention)
 
 
