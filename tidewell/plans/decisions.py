@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import progress, retrieval, sessions
+from ..operators import progress, recall, retrieval, sessions
 from ..sources.tables import questions, read
 from .retrieval import _WORDS
 from .sessions import lines
@@ -102,7 +102,33 @@ def a24_run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return e.rollup("source", "event_type").agg(F.least(F.count(F.lit(1)), F.lit(1_000_000)).alias("n"), F.grouping_id().alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (w18_command_gains, p04_dependencies, r12_round_plan, r27_history_search, r29_docs_search, r18_verify_replay, r34_request_decisions, n21_load_gate, x09_missing_sources, a24_run_metrics)}
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as remembered facts: each second one belongs to the project and hides a global one of the same subject."""
+    d, i = read(spark, folder, "documents"), F.col("doc_id")
+    day = i % 400
+    fresh = numeric.memory_freshness(day * 86400, day * 86400, F.lit(None).cast("long"), F.when(i % 19 == 0, (day + 5) * 86400), F.lit(""), F.lit("project"), F.lit(400 * 86400))
+    return d.select(
+        i.alias("id"),
+        F.when(i % 2 == 0, "project").otherwise("global").alias("scope"),
+        F.lit(None).cast("string").alias("name"),
+        F.lit("").alias("title"),
+        F.concat(F.lit("S "), F.floor(i / 3).cast("string")).alias("subject"),
+        F.when(i % 23 == 0, "pinned").alias("activation"),
+        F.col("text").alias("content"),
+        fresh.alias("freshness"),
+        day.alias("updated"),
+    )
+
+
+def r25_auto_recall(spark: SparkSession, folder: str) -> DataFrame:
+    return recall.recall(questions(spark, folder), recall.visible(facts(spark, folder)))
+
+
+def j10_overrides(spark: SparkSession, folder: str) -> DataFrame:
+    return recall.visible(facts(spark, folder)).groupBy("scope", "freshness").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (w18_command_gains, p04_dependencies, r12_round_plan, r27_history_search, r29_docs_search, r18_verify_replay, r34_request_decisions, n21_load_gate, x09_missing_sources, a24_run_metrics, r25_auto_recall, j10_overrides)}
 
 
 def _search(docs: str, queries: str) -> str:
@@ -112,7 +138,16 @@ tf AS (SELECT id, length, term, count(*)::DOUBLE AS tf FROM p GROUP BY ALL), df
 bm AS (SELECT query_id, id, round(sum(ln(1e0 + (docs - df + 5e-1) / (df + 5e-1)) * (tf * 22e-1) / (tf + 12e-1 * (25e-2 + 75e-2 * length / average))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY query_id, id)"""
 
 
+_FACTS = """f0 AS (SELECT doc_id AS id, doc_id // 3 AS subj, doc_id % 2 = 0 AS own, doc_id % 400 AS updated, text FROM documents WHERE doc_id % 23 <> 0),
+f AS (SELECT id, CASE WHEN own THEN 'project' ELSE 'global' END AS scope, updated, text, CASE WHEN id % 19 = 0 AND 400 > updated + 5 THEN 'expired' WHEN 400 - updated <= 30 THEN 'fresh' WHEN 400 - updated <= 180 THEN 'current' ELSE 'stale' END AS freshness
+ FROM f0 WHERE own OR subj NOT IN (SELECT subj FROM f0 WHERE own))"""
+
 SQL = {
+    "j10_overrides": f"WITH {_FACTS} SELECT scope, freshness, count(*) AS n FROM f GROUP BY ALL",
+    "r25_auto_recall": f"""WITH {_FACTS}, {_search(f"SELECT id, {_WORDS.format('text')} AS t FROM f", f"SELECT item_id AS query_id, {_WORDS.format('text')} AS t FROM benchmark")},
+m AS (SELECT query_id, id, count(*) AS matched FROM qt JOIN (SELECT DISTINCT id, term FROM p) USING (term) GROUP BY ALL),
+k AS (SELECT query_id, id, freshness, updated, round(score * (CASE WHEN scope = 'project' THEN 108e-2 ELSE 1e0 END * CASE WHEN freshness = 'stale' THEN 92e-2 ELSE 1e0 END), 6) AS score FROM bm JOIN m USING (query_id, id) JOIN f USING (id) WHERE matched >= 2 AND freshness <> 'expired'),
+x AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM k) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated DESC, id) AS rank, id, score, freshness FROM x WHERE score >= 24e-2 * top QUALIFY rank <= 4""",
     "w18_command_gains": """WITH r AS (SELECT user_id AS session, event_type <> 'error' AS ok, lag(event_type <> 'error') OVER w AS b, row_number() OVER w > 1 AS seen FROM events WINDOW w AS (PARTITION BY user_id, floor(value) ORDER BY event_id)),
 g AS (SELECT session, CASE WHEN NOT ok THEN CASE WHEN coalesce(NOT b, false) THEN 0 ELSE 1 END WHEN coalesce(NOT b, false) THEN 3 WHEN seen THEN 0 ELSE 2 END AS gain FROM r) SELECT session, sum(gain)::BIGINT AS gain, count(*) FILTER (gain = 3) AS changes FROM g GROUP BY session""",
     "p04_dependencies": """WITH b AS (SELECT DISTINCT l_orderkey FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE p_partkey IS NULL OR p_size IN (7, 9)), h AS (SELECT DISTINCT l_orderkey FROM lineitem),
