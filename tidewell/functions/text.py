@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}"
-_WORD = f"(?:(?![{CJK}])[\\p{{L}}\\p{{Nd}}_])+"
+#: A CJK character, with the cheap test first; and a word: ASCII and Latin letters are found without a look at scripts.
+_CJK = f"[\\x{{1100}}-\\x{{3ffff}}&&[{CJK}]]"
+_WORD = f"[A-Za-z0-9_\\x{{c0}}-\\x{{d6}}\\x{{d8}}-\\x{{f6}}\\x{{f8}}-\\x{{17f}}[\\p{{L}}\\p{{Nd}}&&[^{CJK}]]]+"
 
 
 def _text(c: Column | str) -> Column:
@@ -27,7 +29,7 @@ def let(value: Column, body) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Words of letters, digits and underscores in lower case; each CJK character is a token of its own."""
-    return _all(F.lower(_text(text)), f"[{CJK}]|{_WORD}")
+    return _all(F.lower(_text(text)), f"{_WORD}|{_CJK}")
 
 
 def _bigrams(run: Column) -> Column:
@@ -37,7 +39,7 @@ def _bigrams(run: Column) -> Column:
 
 def tokens_bigram(text: Column | str) -> Column:
     """Words as in `tokens`; runs of CJK characters give overlapping pairs, a lone one stays."""
-    runs = _all(F.lower(_text(text)), f"[{CJK}]+|{_WORD}")
+    runs = _all(F.lower(_text(text)), f"{_WORD}|{_CJK}+")
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), _bigrams(r)).otherwise(F.array(r))))
 
 
@@ -51,7 +53,7 @@ def _segments(word: Column) -> Column:
 def tokens_code(text: Column | str) -> Column:
     """Words followed by the segments of identifiers; CJK characters singly, each but a run's first followed by the pair it
     ends."""
-    runs = _all(_text(text), f"[{CJK}]+|{_WORD}")
+    runs = _all(_text(text), f"{_WORD}|{_CJK}+")
     pairs = lambda r: F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.char_length(r)),
@@ -63,7 +65,7 @@ def tokens_code(text: Column | str) -> Column:
 
 def tokens_hashed(text: Column | str) -> Column:
     """What the hash embedder reads: runs of ASCII letters and digits in their case, CJK characters singly."""
-    return _all(_text(text), f"[{CJK}]|[A-Za-z0-9]+")
+    return _all(_text(text), f"[A-Za-z0-9]+|{_CJK}")
 
 
 def fnv1a32(text: Column | str) -> Column:
