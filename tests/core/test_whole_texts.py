@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidewell.plans import decisions, sessions
+from tidewell.plans import decisions, extraction, sessions
 
 #: Equal in their first 60 characters only; then equal but for one letter outside ASCII; then beyond 2,048 characters.
 TEXTS = ["a" * 60 + "b" * 140, "a" * 60 + "c" * 140, "ä" * 10, "ö" * 10, "ö" * 9 + "ü", "x" * 2049, "x" * 2049]
@@ -40,3 +40,9 @@ def test_request_decisions_compare_whole_texts(spark, tmp_path):
     texts = ["a" * 50 + "b" * 149, "a" * 50 + "c" * 149, "é" * 199, "è" * 199]  # lengths that are reused
     got = {(r.decision, r.false_hit): r.n for r in decisions.r34_request_decisions(spark, folder(spark, tmp_path, texts, range(4))).collect()}
     assert got == {("reuse", False): 4}
+
+
+def test_cells_hold_whole_texts(spark, tmp_path):
+    texts = ["=" + "a" * 300 + "\t\x1b[31mred\x1b[0m\r\n" + "z" * 50, "b" * 201]
+    got = {r.turn: r.cell for r in extraction.f21_cells(spark, folder(spark, tmp_path, texts, range(2))).collect()}
+    assert got == {0: "'=" + "a" * 300 + " red  " + "z" * 50, 1: "b" * 201}

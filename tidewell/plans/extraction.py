@@ -39,7 +39,7 @@ def f18_snippets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f21_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "conversations").select("conv_id", "turn", text.tsv_cell(F.substring("text", 1, 200)).alias("cell"))
+    return read(spark, folder, "conversations").select("conv_id", "turn", text.tsv_cell("text").alias("cell"))
 
 
 def f16_versions(spark: SparkSession, folder: str) -> DataFrame:
