@@ -11,7 +11,7 @@ for each block. Documents are read in one scan and never shuffled; a document's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +104,8 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(), words.at
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> DataFrame:
+def _judge(items: list[tuple[int, str]], coverage: float) -> Callable[[pa.RecordBatch], dict[str, list]]:
+    """A function that finds the rows of a batch that hold an item: row, item_id, covered, words, tiles."""
     hashes, at = _hashes(pa.array([t for _, t in items], pa.string()))
     sequences = [hashes[a:b] for a, b in zip(at, at[1:], strict=False)]
     seeds, seeds_at = kernel.shingles(hashes, at, SEED)
@@ -115,24 +116,34 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> Dat
     mask[keys >> np.uint64(64 - bits)] = True
     names = [i for i, _ in items]
 
+    def judge(part: pa.RecordBatch) -> dict[str, list]:
+        words, at = _hashes(part.column("text"))
+        own, own_at = kernel.shingles(words, at, SEED)
+        likely = np.flatnonzero(mask[own >> np.uint64(64 - bits)])
+        low, high = np.searchsorted(keys, own[likely], "left"), np.searchsorted(keys, own[likely], "right")
+        hit = high > low
+        rows = np.searchsorted(own_at, likely[hit], "right") - 1
+        pairs = {(int(r), int(o)) for r, a, b in zip(rows, low[hit], high[hit], strict=True) for o in owners[a:b]}
+        out = {k: [] for k in ("row", "item_id", "covered", "words", "tiles")}
+        for r, o in sorted(pairs):
+            item = sequences[o]
+            tiles = tile(words[at[r] : at[r + 1]], item)
+            covered = sum(k for _, _, k in tiles)
+            if covered >= coverage * len(item):
+                for name, x in zip(out, (r, names[o], covered, len(item), [{"item_start": t, "doc_start": d, "length": k} for t, d, k in tiles]), strict=True):
+                    out[name].append(x)
+        return out
+
+    return judge
+
+
+def _pass(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> DataFrame:
+    judge = _judge(items, coverage)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.chunks(batch):
-                words, at = _hashes(part.column("text"))
-                own, own_at = kernel.shingles(words, at, SEED)
-                likely = np.flatnonzero(mask[own >> np.uint64(64 - bits)])
-                low, high = np.searchsorted(keys, own[likely], "left"), np.searchsorted(keys, own[likely], "right")
-                hit = high > low
-                rows = np.searchsorted(own_at, likely[hit], "right") - 1
-                pairs = {(int(r), int(o)) for r, a, b in zip(rows, low[hit], high[hit], strict=True) for o in owners[a:b]}
-                out = {k: [] for k in ("row", "item_id", "covered", "words", "tiles")}
-                for r, o in sorted(pairs):
-                    item = sequences[o]
-                    tiles = tile(words[at[r] : at[r + 1]], item)
-                    covered = sum(k for _, _, k in tiles)
-                    if covered >= coverage * len(item):
-                        for name, x in zip(out, (r, names[o], covered, len(item), [{"item_start": t, "doc_start": d, "length": k} for t, d, k in tiles]), strict=True):
-                            out[name].append(x)
+                out = judge(part)
                 tile_type = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -148,6 +159,34 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> Dat
     return docs.mapInArrow(kernel.lean(run), "doc_id long, item_id long, covered_words long, item_words long, tiles array<struct<item_start:int,doc_start:int,length:int>>")
 
 
+def _clean(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> DataFrame:
+    """The rows of `docs` that hold none of the items; each row is judged by its own text."""
+    judge = _judge(items, coverage)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            filled = batch.set_column(at, "text", pc.fill_null(batch.column(at), ""))
+            start = 0
+            for part in kernel.chunks(filled):
+                keep = np.ones(part.num_rows, bool)
+                keep[judge(part)["row"]] = False
+                yield batch.slice(start, part.num_rows).filter(pa.array(keep))
+                start += part.num_rows
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(kernel.lean(run), docs.schema)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items with a text, in blocks of about BLOCK_BYTES; at least one block."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("text <> ''")
+    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for k in range(blocks):
+        yield [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, covered_words, item_words, tiles): documents whose tiles cover at least `coverage` of an item.
 
@@ -156,18 +195,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     result. Only doc_id, text and item_id are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("text <> ''")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     out = None
-    for k in range(blocks):
-        block = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
+    for block in _blocks(benchmark):
         found = _pass(rows, block, coverage)
         out = found if out is None else out.union(found)
     return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """`docs` without the documents that hold an item; rows with a null doc_id are judged together."""
-    found = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__id"]), "left_anti")
+    """`docs` without the rows whose text holds an item; ids play no part, so null and repeated ones are no matter."""
+    for block in _blocks(benchmark):
+        docs = _clean(docs, block, coverage)
+    return docs

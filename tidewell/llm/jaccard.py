@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packaging import ship
 from . import kernel, metricjoin
-from .common import BROADCAST_BYTES, materialize, release
+from .common import BROADCAST_BYTES, broadcast_checked, materialize, release
 
 LOW = 0.6
 COMMON = 16
@@ -39,6 +39,11 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def _text_key() -> Column:
+    """A 128-bit digest of the text: with the id it names a row, save for rows that repeat both."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles as non-negative 63-bit numbers."""
     words = kernel.Words(*kernel.bytes_of(part.column("text")), kernel.LOWER)
@@ -57,8 +62,8 @@ def _heads(n: np.ndarray) -> np.ndarray:
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, low, digest, sketch, wide): size of the set, how many of its shingles are low, a 128-bit digest of the set and
-    its counts by class of hash, of large sets also by finer classes."""
+    """(doc_id, text_key, n, low, digest, sketch, wide): a digest of the text, size of the set, how many of its shingles are low,
+    a 128-bit digest of the set and its counts by class of hash, of large sets also by finer classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +71,11 @@ def set_digests(docs: DataFrame) -> DataFrame:
                 values, at = _sets(part)
                 below = np.concatenate([[0], np.cumsum(values < _CUT)])[at]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column("doc_id"), "n": pa.array(np.diff(at)), "low": pa.array(np.diff(below)), "digest": pa.array(_digests(values, at), pa.binary()), "sketch": kernel.sketches(values, at, CLASSES), "wide": kernel.sketches(values, at, WIDE, LARGE)}
+                    {"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n": pa.array(np.diff(at)), "low": pa.array(np.diff(below)), "digest": pa.array(_digests(values, at), pa.binary()), "sketch": kernel.sketches(values, at, CLASSES), "wide": kernel.sketches(values, at, WIDE, LARGE)}
                 )
 
     ship(docs.sparkSession)
-    return _documents(docs).mapInArrow(kernel.lean(run), "doc_id long, n long, low long, digest binary, sketch array<tinyint>, wide array<tinyint>")
+    return _documents(docs).withColumn("text_key", _text_key()).mapInArrow(kernel.lean(run), "doc_id long, text_key binary, n long, low long, digest binary, sketch array<tinyint>, wide array<tinyint>")
 
 
 def _ranked(keyed: DataFrame) -> DataFrame:
@@ -129,14 +134,9 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * 16 <= BROADCAST_BYTES else df
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles and component_id: the smallest doc_id reachable by links, itself included.
-
-    A null or empty text has an empty set and links with nothing; equal texts and repeated rows have one set and link with
-    each other unless it is empty; rows with a null doc_id take part, and their component is that of the smallest id
-    reachable (null if there is none); rows that share an id but not the text are joined each by its own text; an empty
-    table gives an empty result. Other columns are not read.
-    """
+def _components(docs: DataFrame) -> DataFrame:
+    """Per row of `docs`: doc_id, text_key, n, and of rows whose set is not empty the component's `root` (a number that no other
+    component has) and component_id."""
     sets = materialize(set_digests(docs), "sets")
     odd = sets.groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).filter("k > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"))
     odd = materialize(odd, "odd-ids") if odd.limit(1).count() else None
@@ -178,12 +178,40 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = metricjoin.link(members, nodes, fetch)
     labels = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialize(labels.join(least, "root").select("digest", "component_id"), "labels")
-    out = sets.select("doc_id", "n", "digest").join(labels, "digest", "left")
+    labels = materialize(labels.join(least, "root").select("digest", "root", "component_id"), "labels")
+    return sets.select("doc_id", "text_key", "n", "digest").join(labels, "digest", "left").drop("digest")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles and component_id: the smallest doc_id reachable by links, itself included.
+
+    A null or empty text has an empty set and links with nothing; equal texts and repeated rows have one set and link with
+    each other unless it is empty; rows with a null doc_id take part, and their component is that of the smallest id
+    reachable (null if there is none); rows that share an id but not the text are joined each by its own text; an empty
+    table gives an empty result. Other columns are not read.
+    """
+    out = _components(docs)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents whose component has a smaller id; of rows that repeat the smallest id all stay."""
-    found = jaccard_components(docs).select(F.col("doc_id").alias("__id"), "component_id").filter("component_id < __id").select("__id").distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+    """Exactly one row of `docs` of each component: of the rows with the smallest id (null ids come last) that with the smallest
+    digest of the text, of equal ones the first by the digest of all columns. Rows with empty sets link with nothing and all stay.
+    """
+    found = materialize(_components(docs).filter("n > 0").select("doc_id", "text_key", "root"), "rows")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    equal = found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("equal"))
+    best = equal.groupBy("root").agg(F.min(F.struct(*[row[x].alias(x) for x in ("unnamed", "doc_id", "text_key")], "equal")).alias("best"))
+    best = materialize(best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__text"), F.col("best.equal").alias("__equal")), "kept")
+
+    key = _text_key()
+    same = docs["doc_id"].cast("long").eqNullSafe(best["__id"]) & (key == best["__text"])
+    out = docs.join(broadcast_checked(best.filter("__equal = 1"), 64), same, "left_semi")
+    empty = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    out = out.union(empty)
+    often = best.filter("__equal > 1")
+    if often.limit(1).count():
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        rows = docs.join(broadcast_checked(often, 64), same).groupBy("__id", "__text").agg(F.min_by(F.struct(*columns), F.sha2(F.to_json(F.struct(*columns)), 256)).alias("row"))
+        out = out.union(rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    return out

@@ -226,6 +226,10 @@ def identify(docs: DataFrame, declared: Column | None = None, address: Column |
 
 
 def keep_identified(docs: DataFrame, declared: Column | None = None, address: Column | None = None) -> DataFrame:
-    """`docs` without the documents whose language is not identified; rows that share an id are kept if one of them is."""
-    found = identify(docs, declared, address).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
+    """`docs` without the rows whose language is not identified. Each row is judged by its own text and evidence; ids may be
+    null or repeated."""
+    missing = F.lit("")
+    seen = [F.coalesce(F.lit(None) if c is None else c.cast("string"), missing) for c in (F.col("text"), declared, address)]
+    key = F.struct(F.col("doc_id"), F.unhex(F.md5(F.concat_ws("\x00", *seen).cast("binary"))).alias("digest"))
+    found = identify(docs.withColumn("doc_id", key), declared, address).filter("kept").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (key["digest"] == found["__digest"]), "left_semi")
