@@ -14,6 +14,8 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 
 #: A broadcast side may have this many bytes at most (rows times a bound on a row); beyond it a shuffled join is used.
 BROADCAST_BYTES = 32 << 20
+#: What a row of one long takes in the hash relation of a broadcast join, at most.
+KEY_BYTES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,7 +1,8 @@
 """Vectorised word work over Arrow batches: word boundaries, word hashes and five-word shingles of many texts at once.
 
-A word's hash is a polynomial over its bytes, modulo 2**64 and then mixed; a shingle's hash mixes those of its words, so the
-white space between words is no matter. All hashes have 64 bits.
+A word's hash takes its length and then its bytes, eight at a time, and mixes after each step, so that words of up to eight
+bytes and equal length never collide and longer ones only by chance; a shingle's hash mixes those of its words, so the white
+space between words is no matter. All hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ CHUNK = 1 << 19
 
 _U = np.uint64
 #: Odd multipliers. Fixed values.
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
 _STEPS = [_U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 _RANGE = np.arange(256)
@@ -98,14 +98,23 @@ class Words:
         self.at = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
+        """One hash per word: a chain over its bytes in groups of eight, each step a bijection of the state."""
         if not len(self.starts):
             return np.zeros(0, _U)
-        packed = self.data[self.inside].astype(_U) + _U(1)
+        packed = self.data[self.inside].astype(_U)
         first = np.cumsum(self.lengths) - self.lengths
         place = np.arange(len(packed)) - np.repeat(first, self.lengths)
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(int(self.lengths.max()), _BASE, _U))
-            return mix(np.add.reduceat(packed * power[place], first))
+        groups = -(-self.lengths // 8)
+        heads = np.flatnonzero((place & 7) == 0)
+        lanes = np.bitwise_or.reduceat(packed << ((place & 7) << 3).astype(_U), heads)
+        lane = np.cumsum(groups) - groups
+        out = mix(self.lengths.astype(_U))
+        now, step = np.arange(len(out)), 0
+        while len(now):
+            out[now] = mix(out[now] ^ lanes[lane[now] + step])
+            step += 1
+            now = now[groups[now] > step]
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
@@ -179,3 +188,38 @@ def sketches(values: np.ndarray, at: np.ndarray, classes: int, least: int = 0) -
     index = np.full(len(sizes), -1)
     index[full] = np.arange(len(full))
     return lists.take(pa.array(index, mask=index < 0))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least value of each stretch of `width` neighbours, by doubling."""
+    span = 1
+    while span * 2 <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+
+def anchors(values: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
+    """Places at which a value is the least within `radius` places of its own text. What a place is depends on its
+    neighbourhood alone, so equal stretches of different texts have the same anchors, save near their ends.
+
+    Of equal values in reach of each other (periodic texts) one in every `radius` + 1 places stays.
+    """
+    n = np.diff(at)
+    if not len(values):
+        return np.zeros(0, np.int64)
+    shift = (np.arange(len(n)) + 1) * radius
+    spaced = np.full(len(values) + (len(n) + 1) * radius, np.iinfo(np.uint64).max, _U)
+    to = np.arange(len(values)) + np.repeat(shift, n)
+    spaced[to] = values
+    low = np.full(len(spaced), np.iinfo(np.uint64).max, _U)
+    low[radius : len(spaced) - radius] = sliding_min(spaced, 2 * radius + 1)
+    found = np.flatnonzero(values == low[to])
+    owner = np.searchsorted(at, found, side="right")
+    new = np.ones(len(found), bool)
+    new[1:] = (np.diff(found) > radius) | (owner[1:] != owner[:-1])
+    since = found - np.repeat(found[new], np.diff(np.append(np.flatnonzero(new), len(found))))
+    block = since // (radius + 1)
+    keep = new.copy()
+    keep[1:] |= block[1:] != block[:-1]
+    return found[keep]
