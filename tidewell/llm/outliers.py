@@ -2,12 +2,15 @@
 
 Every text becomes a short vector of transformed statistics. For each group a deterministic concentration search finds the
 half of the rows whose covariance has the least determinant: it starts from several spreads around the median, takes the
-rows nearest by Mahalanobis distance, fits mean and covariance anew and repeats. Rows beyond a chi-square cut of the
-consistency-corrected, reweighted estimate are rejected.
+rows nearest by Mahalanobis distance, fits mean and covariance anew and repeats until no group's determinant falls further.
+Rows beyond a chi-square cut of the consistency-corrected, reweighted estimate are rejected.
+
+Groups are all rows, each language, and each language and source. The estimate of a group of n rows is averaged with that of the
+group around it at weights n and PRIOR, and so are a row's distances from its source's and its language's estimate. A source of a
+handful of rows is thus judged mostly as its language, one of hundreds by itself, and there is no size at which the rule changes.
 
 Plan: texts are read once into a table of numbers; all further passes are grouped aggregates over that table with map-side
 partial sums, so a group with a third of all rows costs no more than others. Nothing runs in Python on the executors.
-Groups that are too small fall back to their language, then to all rows.
 """
 
 from __future__ import annotations
@@ -15,18 +18,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, let, materialize, words
+from .common import BROADCAST_BYTES, let, materialize, words
 
 #: Names of the transformed statistics.
 DIMS = ("f_length", "f_symbols", "f_lines", "f_repeats", "f_capitals", "f_marks", "f_stutter")
 #: Least spread of each statistic, so that a group in which nearly all rows agree is no degenerate one. In transformed units.
 FLOOR = 0.08
-#: Share of rows in the concentrated half; a group needs SMALLEST rows for an estimate of its own.
-SHARE, SMALLEST, STEPS = 0.75, 200, 3
+#: Share of rows in the concentrated half; rows that the estimate of the surrounding group counts as (five for each dimension).
+SHARE, PRIOR = 0.5, 5 * len(DIMS)
+#: Concentration ends when no log determinant falls by more than SETTLED; after MOST steps at the latest (quantiles are approximate
+#: to 1 in 2,000, so the determinant of a large group may waver).
+SETTLED, MOST = 0.01, 30
 #: Chi-square quantile at 0.9999 with 7 degrees of freedom. Fixed value.
 CUT = 29.8775
 #: Consistency of the covariance of the nearest SHARE rows in 7 dimensions: SHARE / P(chi2 with 9 <= quantile at SHARE of chi2 with 7).
-CONSISTENCY = 1.3247
+CONSISTENCY = 1.6942
+#: Bytes that a broadcast row of group estimates takes, at most.
+GROUP_BYTES = 4096
 
 
 def text_statistics(text: Column) -> Column:
@@ -95,7 +103,6 @@ def _vector() -> list[Column]:
     ]
 
 
-GROUP = ("__lang", "__source")
 PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
 
 
@@ -118,110 +125,120 @@ def _inverse(matrix: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(DIMS) - 1)), start, step)
 
 
-def _moments(weight: Column, tag: str) -> list[Column]:
-    """Weighted sums of the statistics and of their products: what mean and covariance need, mergeable map-side."""
-    own = [F.sum(weight).alias(f"w{tag}")]
-    own += [F.sum(weight * F.col(x)).alias(f"s{i}{tag}") for i, x in enumerate(DIMS)]
-    return own + [F.sum(weight * F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}_{j}{tag}") for i, j in PAIRS]
+def _moments(chosen: str, tag: str) -> list[Column]:
+    """Sums of the statistics and of their products over the rows chosen: what mean and covariance need, mergeable map-side."""
+    weight = f"if({chosen}, 1D, 0D)"
+    own = {f"w{tag}": weight} | {f"s{i}{tag}": f"{weight} * {x}" for i, x in enumerate(DIMS)}
+    own |= {f"q{i}_{j}{tag}": f"{weight} * {DIMS[i]} * {DIMS[j]}" for i, j in PAIRS}
+    return [F.expr(f"sum({v})").alias(k) for k, v in own.items()]
 
 
-def _fit(sums: DataFrame, tags: list[str], factor: float) -> DataFrame:
-    """Per group and start: mean, inverse covariance and log determinant. `factor` scales the covariance."""
-    mean = lambda i, t: F.col(f"s{i}{t}") / F.col(f"w{t}")
+def _estimates(sums: DataFrame, tags: list[str], factor: float) -> DataFrame:
+    """Per group and start: `n` (weight), mean and covariance, scaled by `factor`. Keeps `logdet` if there is one, as `before`."""
 
-    def cov(i: int, j: int, t: str) -> Column:
-        raw = (F.col(f"q{max(i, j)}_{min(i, j)}{t}") / F.col(f"w{t}") - mean(i, t) * mean(j, t)) * factor
-        return raw + FLOOR**2 if i == j else raw
+    def cov(i: int, j: int, t: str) -> str:
+        raw = f"(q{max(i, j)}_{min(i, j)}{t} / w{t} - s{i}{t} / w{t} * (s{j}{t} / w{t})) * {factor}D"
+        return f"{raw} + {FLOOR**2}D" if i == j else raw
 
-    columns = list(GROUP)
+    columns = ["g", *[c for c in sums.columns if c == "before"]]
+    places = range(len(DIMS))
     for t in tags:
-        matrix = F.array(*[F.array(*[cov(i, j, t) for j in range(len(DIMS))]) for i in range(len(DIMS))])
-        columns += [F.struct(F.array(*[mean(i, t) for i in range(len(DIMS))]).alias("mean"), _inverse(matrix).alias("inverse")).alias(f"fit{t}")]
-    fitted = materialize(sums.select(*columns), "fits")
-    flat = list(GROUP)
+        matrix = ", ".join(f"array({', '.join(cov(i, j, t) for j in places)})" for i in places)
+        columns += [F.col(f"w{t}").alias(f"n{t}"), F.expr(f"array({', '.join(f's{i}{t} / w{t}' for i in places)})").alias(f"mean{t}"), F.expr(f"array({matrix})").alias(f"cov{t}")]
+    return sums.select(*columns)
+
+
+def _inverted(estimates: DataFrame, tags: list[str]) -> DataFrame:
+    """Per group and start: what distances need, as flat columns: mean, inverse covariance and log determinant."""
+    kept = ["g", *[c for c in estimates.columns if c in ("before", "share")]]
+    inverted = materialize(estimates.select(*kept, *[F.col(f"mean{t}") for t in tags], *[_inverse(F.col(f"cov{t}")).alias(f"inverse{t}") for t in tags]), "fits")
     for t in tags:
-        flat += [F.col(f"fit{t}.mean")[i].alias(f"m{i}{t}") for i in range(len(DIMS))]
-        flat += [F.col(f"fit{t}.inverse.m")[i][j].alias(f"p{i}_{j}{t}") for i, j in PAIRS]
-        flat += [F.col(f"fit{t}.inverse.logdet").alias(f"logdet{t}")]
-    return fitted.select(*flat)
+        kept += [F.col(f"mean{t}")[i].alias(f"m{i}{t}") for i in range(len(DIMS))]
+        kept += [F.col(f"inverse{t}.m")[i][j].alias(f"p{i}_{j}{t}") for i, j in PAIRS]
+        kept += [F.col(f"inverse{t}.logdet").alias(f"logdet{t}")]
+    return inverted.select(*kept)
 
 
 def _distance(t: str) -> Column:
     """Squared Mahalanobis distance to the fit of tag `t`."""
-    z = [F.col(x) - F.col(f"m{i}{t}") for i, x in enumerate(DIMS)]
-    return sum((F.col(f"p{i}_{j}{t}") * z[i] * z[j] * (1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
-
-
-def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with their group's numbers: groups are broadcast after a check of their count, else joined with skew handling."""
-    return rows.join(broadcast_checked(groups, 600), list(GROUP))
+    term = lambda i, j: f"{'' if i == j else '2D * '}p{i}_{j}{t} * ({DIMS[i]} - m{i}{t}) * ({DIMS[j]} - m{j}{t})"
+    return F.expr(" + ".join(term(i, j) for i, j in PAIRS))
 
 
-def _concentrate(rows: DataFrame, fits: DataFrame, tags: list[str]) -> DataFrame:
-    """One concentration step of each start: the nearest SHARE of each group's rows, and their moments."""
-    near = _with(rows, fits)
-    near = near.select(*GROUP, *DIMS, *[_distance(t).alias(f"d{t}") for t in tags])
-    return _subset(near, tags)
+def _nearest(near: DataFrame, tags: list[str], few: bool) -> DataFrame:
+    """The moments of the nearest SHARE of each group's rows by the distances d of each start (ties at the cut all count)."""
+    cuts = near.groupBy("g").agg(*[F.percentile_approx(f"d{t}", SHARE, 2000).alias(f"c{t}") for t in tags])
+    chosen = near.join(F.broadcast(cuts) if few else cuts, "g")
+    first = [F.first("before").alias("before")] if "before" in near.columns else []
+    return chosen.groupBy("g").agg(*[x for t in tags for x in _moments(f"d{t} <= c{t}", t)], *first)
 
 
-def _subset(near: DataFrame, tags: list[str]) -> DataFrame:
-    cuts = near.groupBy(*GROUP).agg(*[F.percentile_approx(f"d{t}", SHARE, 2000).alias(f"c{t}") for t in tags])
-    chosen = _with(near, materialize(cuts, "cuts"))
-    sums = chosen.groupBy(*GROUP).agg(*[x for t in tags for x in _moments((F.col(f"d{t}") <= F.col(f"c{t}")).cast("double"), t)])
-    return _fit(sums, tags, CONSISTENCY)
+def _concentrate(rows: DataFrame, fits: DataFrame, tags: list[str], few: bool) -> DataFrame:
+    """One concentration step of each start."""
+    near = rows.join(F.broadcast(fits) if few else fits, "g")
+    before = [F.col("logdet").alias("before")] if tags == [""] else []
+    near = near.select("g", *DIMS, *before, *[_distance(t).alias(f"d{t}") for t in tags])
+    return _inverted(_estimates(_nearest(near, tags, few), tags, CONSISTENCY), tags)
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds the group of each row: its language and source; of small ones the rest of the language, then all rests."""
-    sizes = stats.groupBy("__lang0", "__source0").agg(F.sum(F.when(~F.col("base_failed"), 1).otherwise(0)).alias("n"))
-    small = F.col("n") < SMALLEST
-    rest = sizes.groupBy("__lang0").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("r")).withColumnRenamed("__lang0", "__l")
-    named = sizes.join(rest, F.col("__lang0").eqNullSafe(F.col("__l"))).select(
-        F.col("__lang0").alias("__a"),
-        F.col("__source0").alias("__b"),
-        F.when(small & (F.col("r") < SMALLEST), F.lit("*")).otherwise(F.coalesce(F.concat(F.lit("l:"), "__lang0"), F.lit("-"))).alias("__lang"),
-        F.when(small, F.lit("*")).otherwise(F.coalesce(F.concat(F.lit("s:"), "__source0"), F.lit("-"))).alias("__source"),
-    )
-    named = broadcast_checked(materialize(named, "groups"), 120)
-    return stats.join(named, F.col("__lang0").eqNullSafe(F.col("__a")) & F.col("__source0").eqNullSafe(F.col("__b"))).drop("__a", "__b")
+def _averaged(own: DataFrame, around: DataFrame) -> DataFrame:
+    """Estimates of groups (with `up`, the group around each), averaged with those of the groups around them."""
+    outer = around.select(F.col("g").alias("up"), F.col("mean").alias("up_mean"), F.col("cov").alias("up_cov"))
+    share = F.col("n") / (F.col("n") + PRIOR)
+    mix = lambda a, b: a * share + b * (1 - share)
+    joined = own.join(outer, "up")
+    mean = F.zip_with("mean", "up_mean", mix)
+    return joined.select("g", "up", share.alias("share"), mean.alias("mean"), F.zip_with("cov", "up_cov", lambda a, b: F.zip_with(a, b, mix)).alias("cov"))
 
 
 def reject_outliers(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, the base statistics, base_failed, distance (squared, null if the group gives no estimate)
+    """Per row of `docs`: doc_id, the base statistics, base_failed, distance (squared, null if no row passes the base rules)
     and kept.
 
     A null or empty text has no words and fails the base rules. Rows with a null language or source form groups of their
-    own. Groups with fewer than 20 rows that pass the base rules have no estimate and reject nothing. Repeated rows and ids
-    are judged one by one; an empty table gives an empty result. Of the input only doc_id, text, lang and source are read.
+    own. Only rows that pass the base rules enter estimates; rows at equal distances are all in or out of the half. Repeated rows
+    and ids are judged one by one; an empty table gives an empty result. Of the input only doc_id, text, lang and source are read.
     """
-    stats = docs.select("doc_id", F.col("lang").alias("__lang0"), F.col("source").alias("__source0"), text_statistics(F.col("text")).alias("x")).select("doc_id", "__lang0", "__source0", "x.*")
+    lang = F.coalesce(F.concat(F.lit("l:"), F.col("lang").cast("string")), F.lit("l"))
+    source = F.concat(lang, F.coalesce(F.concat(F.lit("\x00:"), F.col("source").cast("string")), F.lit("\x00")))
+    stats = docs.select("doc_id", lang.alias("g_lang"), source.alias("g_own"), text_statistics(F.col("text")).alias("x")).select("doc_id", "g_lang", "g_own", "x.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    stats = materialize(stats.withColumn("base_failed", failed).select("*", *_vector()), "statistics")
-    rows = materialize(_grouped(stats).drop("__lang0", "__source0"), "grouped")
-    fit_rows = rows.filter(~F.col("base_failed")).select(*GROUP, *DIMS)
+    rows = materialize(stats.withColumn("base_failed", failed).select("*", *_vector()), "statistics")
+    fit_rows = rows.filter(~F.col("base_failed")).select(F.explode(F.array(F.lit("*"), "g_lang", "g_own")).alias("g"), *DIMS)
 
     # Starts: distances from the median with the absolute deviations as scales, combined as sum of squares, sum and most.
-    medians = fit_rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(f"med_{x}") for x in DIMS])
-    medians = materialize(medians.filter("n >= 20"), "medians")
-    scaled = _with(fit_rows, medians)
-    spreads = materialize(scaled.groupBy(*GROUP).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"med_{x}")), 0.5, 2000).alias(f"mad_{x}") for x in DIMS]), "spreads")
-    scaled = _with(scaled, spreads)
+    medians = materialize(fit_rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"med_{x}") for x in DIMS]), "medians")
+    few = medians.count() * GROUP_BYTES <= BROADCAST_BYTES
+    held = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    centred = fit_rows.join(held(medians), "g")
+    spreads = centred.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"med_{x}")), 0.5, 2000).alias(f"mad_{x}") for x in DIMS])
+    scaled = centred.join(held(materialize(spreads, "spreads")), "g")
     z = [F.abs(F.col(x) - F.col(f"med_{x}")) / (1.4826 * F.col(f"mad_{x}") + FLOOR) for x in DIMS]
     starts = {"_a": sum((v * v for v in z), F.lit(0.0)), "_b": sum(z, F.lit(0.0)), "_c": F.greatest(*z)}
     tags = list(starts)
-    fits = _subset(scaled.select(*GROUP, *DIMS, *[v.alias(f"d{t}") for t, v in starts.items()]), tags)
-    fits = _concentrate(fit_rows, fits, tags)
+    near = scaled.select("g", *DIMS, *[v.alias(f"d{t}") for t, v in starts.items()])
+    fits = _concentrate(fit_rows, _inverted(_estimates(_nearest(near, tags, few), tags, CONSISTENCY), tags), tags, few)
 
-    # The start of least determinant goes on alone.
+    # The start of least determinant goes on alone, until nothing falls any more.
     best = F.least(*[F.col(f"logdet{t}") for t in tags])
     pick = lambda name: F.coalesce(*[F.when(F.col(f"logdet{t}") == best, F.col(f"{name}{t}")) for t in tags]).alias(name)
-    fits = fits.select(*GROUP, *[pick(f"m{i}") for i in range(len(DIMS))], *[pick(f"p{i}_{j}") for i, j in PAIRS], pick("logdet"))
-    for _ in range(STEPS - 1):
-        fits = _concentrate(fit_rows, fits, [""])
+    fits = fits.select("g", *[pick(f"m{i}") for i in range(len(DIMS))], *[pick(f"p{i}_{j}") for i, j in PAIRS], pick("logdet"))
+    for _ in range(MOST):
+        fits = _concentrate(fit_rows, fits, [""], few)
+        if (fits.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0.0) <= SETTLED:
+            break
 
     # Reweighting: all rows within the cut of the raw estimate give the final one.
-    inside = _with(fit_rows, fits).select(*GROUP, *DIMS, _distance("").alias("d"))
-    final = _fit(inside.groupBy(*GROUP).agg(*_moments((F.col("d") <= CUT).cast("double"), "")), [""], 1.0)
-    judged = rows.join(broadcast_checked(final, 600), list(GROUP), "left").withColumn("distance", _distance(""))
+    inside = fit_rows.join(held(fits), "g").select("g", *DIMS, _distance("").alias("d"))
+    final = materialize(_estimates(inside.groupBy("g").agg(*_moments(f"d <= {CUT}D", "")), [""], 1.0), "estimates")
+    every = final.filter("g = '*'")
+    names = materialize(rows.filter(~F.col("base_failed")).select("g_lang", "g_own").distinct(), "names")
+    of_lang = final.join(names.select(F.col("g_lang").alias("g")).distinct(), "g").withColumn("up", F.lit("*"))
+    of_lang = _averaged(of_lang, every)
+    own = _averaged(final.join(names.select(F.col("g_own").alias("g"), F.col("g_lang").alias("up")), "g"), of_lang)
+    both = own.join(of_lang.select(F.col("g").alias("up"), F.col("mean").alias("mean_up"), F.col("cov").alias("cov_up")), "up")
+    judging = _inverted(both.select("g", "share", F.col("mean").alias("mean_own"), F.col("cov").alias("cov_own"), "mean_up", "cov_up"), ["_own", "_up"])
+    share = F.col("share")
+    judged = rows.join(held(judging.withColumnRenamed("g", "g_own")), "g_own", "left").withColumn("distance", share * _distance("_own") + (1 - share) * _distance("_up"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", *DIMS)
