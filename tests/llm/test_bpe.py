@@ -27,12 +27,12 @@ TEXTS = [
 def test_trees_equal_the_library(piece):
     tok = bpe.tokenizer(PATH)
     texts = [t or "" for t in TEXTS]
-    for text, got in zip(texts, bpe.encode_texts(texts, PATH, piece_chars=piece), strict=True):
+    for text, got in zip(texts, bpe.encode_texts(texts, PATH, piece_bytes=piece), strict=True):
         assert got.tolist() == tok.encode(text, add_special_tokens=False).ids, text[:30]
 
 
 def test_query_columns(spark):
-    got = {r.doc_id: r for r in bpe.encode(documents(spark, TEXTS), PATH, piece_chars=100, keep_text=True).collect()}
+    got = {r.doc_id: r for r in bpe.encode(documents(spark, TEXTS), PATH, piece_bytes=100, keep_text=True).collect()}
     tok = bpe.tokenizer(PATH)
     for i, t in enumerate(TEXTS):
         ids = tok.encode(t or "", add_special_tokens=False).ids
@@ -54,3 +54,27 @@ def test_quick_encoder_and_decoder_equal_the_library():
     assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     odd = [np.array([r.randrange(50257) for _ in range(r.randrange(30))], np.uint32) for _ in range(300)]
     assert bpe.decode_ids(odd, PATH) == [tok.decode(o.tolist(), skip_special_tokens=False) for o in odd]
+
+
+def test_long_texts_at_production_settings():
+    """Equal to the library, and windows stay short even where a text has no break at all."""
+    import random
+
+    tok, r = bpe.tokenizer(PATH), random.Random(9)
+    letters = "".join(r.choice("abcdefghij") for _ in range(60_000))
+    texts = [letters, letters.upper() + "é" * 9000, prose(2, 20_000), "日本" * 9000 + "<|endoftext|>" * 900, "0123456789" * 3000, "=-" * 9000 + " " * 9000 + "'re'll" * 3000, "𝄞" * 6000]
+    texts += ["".join(r.choice(["ab", " ", "  ", "\n", "'s", "'", "12", "é", "!!", "…", "<|endoftext|>", "the", "ing"]) for _ in range(12_000)) for _ in range(6)]
+    seen, window = [], bpe._Join.window
+
+    def counted(self):
+        seen.append(len(w := window(self)))
+        return w
+
+    bpe._Join.window = counted
+    try:
+        got = bpe.encode_texts(texts, PATH)
+    finally:
+        bpe._Join.window = window
+    for t, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t[:20]
+    assert sum(seen) < sum(len(t.encode()) for t in texts)

@@ -68,3 +68,34 @@ def test_blocks_empty_and_null_ids(spark, monkeypatch):
     assert whole == parts and len(whole) == 18
     assert decontam.contaminated(documents(spark, []), items).count() == 0
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_short_items_pieces_of_four_words_and_long_texts(spark):
+    words = prose(7, 24, 10**6).split()
+    pieces = " zzz ".join(" ".join(words[k : k + 4]) for k in (20, 8, 0, 16, 4, 12))  # reordered in pieces of a seed each
+    texts = ["One two, three", "one two three four", "x one two three", "one", "Four little words here", pieces, prose(8, 60_000) + " " + " ".join(words) + " end", "one one one"]
+    items = spark.createDataFrame([(0, "one two three"), (1, "one"), (2, "four little words here!"), (3, " ".join(words)), (4, "?!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.covered_words, r.item_words) for r in decontam.contaminated(documents(spark, texts), items).collect()}
+    assert got == {(0, 0, 3, 3), (3, 1, 1, 1), (4, 2, 4, 4), (5, 3, 24, 24), (6, 3, 24, 24)}
+
+
+def test_query_matches_brute_force(spark):
+    """All pairs of a small table, tiled as defined."""
+    r = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(6, 30))) for _ in range(12)]
+    texts = []
+    for i in range(60):
+        w = items[i % 12].split()
+        k = r.randrange(1, len(w))
+        texts.append(" ".join([r.choice(vocabulary) for _ in range(r.randrange(20))] + w[k:][: r.randrange(1, 30)] + ["gap"] + w[: r.randrange(0, k + 1)]))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.covered_words for x in decontam.contaminated(documents(spark, texts), table).collect()}
+    number = {w: k for k, w in enumerate([*vocabulary, "gap"])}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = ([number[w] for w in t.split()] for t in (text, item))
+            covered = sum(brute(a, b, 4))
+            if (d, i) in got or 2 * covered >= len(b):  # equally long tiles may be marked in another order
+                assert abs(got.get((d, i), 0) - covered) <= 4 and ((d, i) in got or 2 * (covered - 4) < len(b))
+    assert len(got) > 20

@@ -33,3 +33,14 @@ def test_records_and_roots(spark):
     assert (r.archive, r.offset, r.length, r.hash) == (0, 0, len(body), hashlib.sha256(body).hexdigest())
     empty = fixity.page_records(pages(spark, []))
     assert empty.count() == 0 and fixity.audit(empty.drop("page_id"), empty.drop("page_id")).count() == 0
+
+
+def test_query_judges_records_not_ids(spark, tmp_path):
+    """Undamaged pages with null or repeated ids are neither missing nor corrupt."""
+    from tidewell.llm import queries
+
+    rows = [(None, "u", "a"), (None, "u", "a"), (None, "v", None), (3, "x", "one"), (3, "x", "two"), (3, "x", "two"), (7, "y", "bad"), (7, "y", None), (60, "y", ""), (11, "z", "lost"), (70, "z", "lost")]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.page_id, r.status) for r in queries.op2_merkle_audit(spark, str(tmp_path)).collect()]
+    want = [(i, "missing" if i in (11, 70) else "corrupt" if i in (7, 60) and h is not None else "ok") for i, _, h in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)

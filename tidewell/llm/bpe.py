@@ -2,12 +2,13 @@
 
 A long text is cut into halves until the pieces are short; the pieces of all texts of a batch are encoded together, and
 neighbours are joined pairwise up the tree. At each join the ids near the cut may be wrong, so a window around it is encoded
-anew and grown until it agrees with both sides; the ids beyond the points of agreement stay.
+anew and grown until it shares a token, at the same place, with each side; the ids beyond these tokens stay.
 
-Why that is exact: the vocabulary splits a text into pretokens, left to right, each a function of the text from its start
-on. A boundary of the left side that lies further before the cut than any lookahead or special token reaches is a boundary
-of the whole, and once a boundary of the window behind the cut is one of the right side too, both run on alike. A join thus
-gives what encoding the joined text at once would give, and so does the root.
+Why that is exact: a sequence of tokens is the byte-pair encoding of its pretoken if and only if each two neighbours are what
+their own bytes encode to, for merges in the order of their ids. A side and the window that share a token can thus change over
+at it: all neighbours of the result are neighbours in one of them. Where a pretoken ends is a matter of the characters behind
+the shared token, which the window has, as it reaches further than any lookahead or special token. A join thus gives what
+encoding the joined text at once would give, and so does the root. Long runs without any break need no larger windows.
 
 Texts are independent: nothing is shuffled, a batch's memory is bounded, and a lost task is just run again.
 """
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame
 from ..functions.packaging import ship
 from . import kernel
 
-#: Texts of more characters are cut.
-PIECE = 1 << 15
-#: Characters of a join's first window on each side, and how near the cut a left boundary may lie.
-WINDOW = 128
+#: Texts of more bytes are cut.
+PIECE = 1 << 12
+#: Bytes of a join's first window on each side.
+WINDOW = 64
 #: Characters of texts that are encoded together.
 BATCH = 1 << 21
 
@@ -61,11 +62,11 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
-    """All tokens' bytes end to end, each id's start and length in them, and a quicker encoder of the same vocabulary.
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, object, bool]:
+    """All tokens' bytes end to end, each id's start and length in them, a quicker encoder of the same vocabulary, and whether the
+    file is a plain byte-level BPE in which each merge makes the next higher id, so that ids rank the merges.
 
-    The encoder is None unless the file is a plain byte-level BPE in which each merge makes the next higher id, so that ids
-    rank the merges.
+    Without that there is no quicker encoder (None), and texts are encoded whole.
     """
     tok, alphabet = tokenizer(path), _byte_alphabet()
     spec = json.loads(tok.to_str())
@@ -87,132 +88,124 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
             quick = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks={as_bytes[i]: i for i in range(256 + len(merges))}, special_tokens={})
         except ImportError:
             pass
-    return np.frombuffer(b"".join(as_bytes), np.uint8), starts, lengths, quick
+    return np.frombuffer(b"".join(as_bytes), np.uint8), starts, lengths, quick, plain
 
 
 class Piece:
-    """A text with its ids, the character position of each id's start and which ids start a pretoken."""
+    """The bytes of a text with its ids and where each one starts in them."""
 
-    __slots__ = ("ids", "starts", "heads", "text")
+    __slots__ = ("data", "ids", "starts")
 
-    def __init__(self, text: str, ids: np.ndarray, starts: np.ndarray, heads: np.ndarray):
-        self.text, self.ids, self.starts, self.heads = text, ids, starts, heads
+    def __init__(self, data: bytes, ids: np.ndarray, starts: np.ndarray):
+        self.data, self.ids, self.starts = data, ids, starts
 
     @classmethod
-    def of(cls, text: str, encoding, special: frozenset[int]) -> Piece:
-        ids = np.array(encoding.ids, np.uint32)
-        starts = np.array([a for a, _ in encoding.offsets], np.int64)
-        words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
-        heads = np.ones(len(ids), bool)
-        if len(ids):
-            odd = np.isin(ids, list(special)) if special else np.zeros(len(ids), bool)
-            heads[1:] = (words[1:] != words[:-1]) | odd[1:] | odd[:-1]
-        return cls(text, ids, starts, heads)
+    def of(cls, data: bytes, ids: np.ndarray, lengths: np.ndarray) -> Piece:
+        n = lengths[ids]
+        return cls(data, ids, np.cumsum(n) - n)
+
+
+def _forward(data: bytes, at: int) -> int:
+    """The first place from `at` on where a character starts."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _shared(a: Piece, first: int, b: Piece, shift: int, low: int, high: int) -> tuple[int, int] | None:
+    """The numbers of the first token that `a` (from token `first` on) and `b` both have at one place, `b` lying `shift` behind;
+    the token lies between the places `low` and `high` of `a`."""
+    own = a.starts[first : int(np.searchsorted(a.starts, high))]
+    at = np.searchsorted(own, low)
+    own = own[at:]
+    if not len(own):
+        return None
+    place = np.searchsorted(b.starts, own - shift)
+    inside = place < len(b.starts)
+    ends = np.append(own[1:], len(a.data))[: len(own)]
+    hit = inside & (ends <= high)
+    hit[inside] &= (b.starts[place[inside]] == own[inside] - shift) & (b.ids[place[inside]] == a.ids[first + at :][: len(own)][inside])
+    found = np.flatnonzero(hit)
+    return (first + int(at) + int(found[0]), int(place[found[0]])) if len(found) else None
 
 
 class _Join:
-    """A join of two neighbours: asks for windows of growing size until both sides agree."""
+    """A join of two neighbours: asks for windows of growing size until both sides agree with one."""
 
     def __init__(self, left: Piece, right: Piece, reach: int):
-        self.left, self.right, self.reach, self.size, self.done = left, right, reach, WINDOW, None
-
-    def window(self) -> str:
-        cut = len(self.left.text)
-        before = np.flatnonzero(self.left.heads & (self.left.starts <= cut - max(self.size, self.reach)))
-        self.from_id = int(before[-1]) if len(before) else 0
-        self.start = int(self.left.starts[self.from_id]) if len(before) else 0
-        self.stop = min(len(self.right.text), self.size)
-        return self.left.text[self.start :] + self.right.text[: self.stop]
+        self.left, self.right, self.reach, self.size, self.done = left, right, reach, WINDOW + reach, None
+
+    def window(self) -> bytes:
+        left, right = self.left, self.right
+        token = int(np.searchsorted(left.starts, len(left.data) - self.size, side="right")) - 1
+        while token > 0 and left.data[left.starts[token]] & 0xC0 == 0x80:
+            token -= 1
+        self.token = max(0, token)
+        self.start = int(left.starts[self.token]) if token > 0 else 0
+        self.stop = _forward(right.data, min(len(right.data), self.size))
+        return left.data[self.start :] + right.data[: self.stop]
 
     def take(self, piece: Piece) -> None:
-        """Accept the window if it agrees with the left side at its first pretoken and with the right at some boundary."""
-        right, cut = self.right, len(self.left.text) - self.start
-        whole = self.stop == len(right.text)
-        if whole and self.start == 0:
-            self.done = (0, piece, len(piece.ids), len(right.ids))
-            return
-        if self.start and not self._same_head(piece):
-            self.size *= 2
-            return
-        if whole:  # the window reaches the right end: nothing of the right side is kept
-            self.done = (self.from_id, piece, len(piece.ids), len(right.ids))
-            return
-        own = piece.starts - cut
-        ends = piece.heads & (own > 0) & (own <= self.stop - self.reach)
-        shared = np.intersect1d(own[ends], right.starts[right.heads])
-        if not len(shared):
+        """Accept the window if it shares a token with the left side well before the cut and one with the right side well before
+        its own end."""
+        left, right, cut = self.left, self.right, len(self.left.data)
+        first = (0, 0) if not self.start else _shared(left, self.token, piece, self.start, self.start, cut - self.reach)
+        last = None
+        if self.stop == len(right.data):
+            last = (len(right.ids), len(piece.ids))  # nothing of the right side is kept
+        elif first:
+            last = _shared(right, 0, piece, self.start - cut, 0, self.stop - self.reach)
+        if not first or not last or first[1] > last[1]:
             self.size *= 2
             return
-        at = int(shared[0])
-        k = int(np.flatnonzero(ends & (own == at))[0])
-        r = int(np.flatnonzero(right.heads & (right.starts == at))[0])
-        self.done = (self.from_id, piece, k, r)
-
-    def _same_head(self, piece: Piece) -> bool:
-        """The window's first pretoken is the left side's there: the boundary held."""
-        n = 1
-        while n < len(piece.ids) and not piece.heads[n]:
-            n += 1
-        return n < len(piece.ids) and np.array_equal(piece.ids[:n], self.left.ids[self.from_id : self.from_id + n])
-
-    def result(self) -> Piece:
-        a, piece, k, r = self.done
-        left, right, cut = self.left, self.right, len(self.left.text)
-        return Piece(
-            left.text + right.text,
-            np.concatenate([left.ids[:a], piece.ids[:k], right.ids[r:]]),
-            np.concatenate([left.starts[:a], piece.starts[:k] + self.start, right.starts[r:] + cut]),
-            np.concatenate([left.heads[:a], piece.heads[:k], right.heads[r:]]),
+        (a, k), (b, m) = first, last
+        self.done = Piece(
+            left.data + right.data,
+            np.concatenate([left.ids[:a], piece.ids[k:m], right.ids[b:]]),
+            np.concatenate([left.starts[:a], piece.starts[k:m] + self.start, right.starts[b:] + cut]),
         )
 
 
-def encode_texts(texts: list[str], path: str, piece_chars: int = PIECE) -> list[np.ndarray]:
+def encode_texts(texts: list[str], path: str, piece_bytes: int = PIECE) -> list[np.ndarray]:
     """The ids of each text, as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    Short texts of PLAIN characters without special tokens take the quicker encoder, all others the tokenizer itself.
+    Texts of PLAIN characters without special tokens take the quicker encoder, all others the tokenizer itself.
     """
-    tok, quick = tokenizer(path), vocabulary(path)[3]
-    added = tok.get_added_tokens_decoder()
-    special = frozenset(added)
-    reach = max([16, *(len(t.content) + 2 for t in added.values())])
-    out: list[np.ndarray | None] = [None] * len(texts)
-    short = [i for i, t in enumerate(texts) if len(t) <= piece_chars]
-    if quick:
-        names = [t.content for t in added.values()]
-        easy = [i for i in short if PLAIN.fullmatch(texts[i]) and not any(x in texts[i] for x in names)]
-        for i in easy:
-            out[i] = quick.encode_to_numpy(texts[i], disallowed_special=())
-        short = sorted(set(short) - set(easy))
-    for i, e in zip(short, tok.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, np.uint32)
-    rows: dict[int, list] = {}
-    for i, text in enumerate(texts):
-        if out[i] is None:
-            parts = 1
-            while len(text) > parts * piece_chars:
-                parts *= 2
-            cuts = [len(text) * k // parts for k in range(parts + 1)]
-            rows[i] = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    encoded = iter(tok.encode_batch([p for parts in rows.values() for p in parts], add_special_tokens=False))
-    level = {i: [Piece.of(p, next(encoded), special) for p in parts] for i, parts in rows.items()}
-    while any(len(p) > 1 for p in level.values()):
-        joins = {i: [_Join(a, b, reach) for a, b in zip(p[::2], p[1::2], strict=True)] for i, p in level.items() if len(p) > 1}
-        open_ = [j for own in joins.values() for j in own]
+    tok, (_, _, lengths, quick, plain) = tokenizer(path), vocabulary(path)
+    names = [t.content for t in tok.get_added_tokens_decoder().values()]
+    reach = max([16, *(len(x.encode()) + 2 for x in names)])
+
+    def encode(parts: list[str], easy: list[bool]) -> list[np.ndarray]:
+        hard = iter(tok.encode_batch_fast([p for p, e in zip(parts, easy, strict=True) if not e], add_special_tokens=False))
+        return [quick.encode_to_numpy(p, disallowed_special=()) if e else np.array(next(hard).ids, np.uint32) for p, e in zip(parts, easy, strict=True)]
+
+    easy = [quick is not None and PLAIN.fullmatch(t) is not None and not any(x in t for x in names) for t in texts]
+    level: list[list] = []
+    for text in texts:
+        data = text.encode()
+        parts = 1
+        while plain and len(data) > parts * piece_bytes:
+            parts *= 2
+        cuts = [_forward(data, len(data) * k // parts) for k in range(parts + 1)]
+        level.append([data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+    ids = iter(encode([p.decode() for parts in level for p in parts], [e for e, parts in zip(easy, level, strict=True) for _ in parts]))
+    level = [[Piece.of(p, next(ids), lengths) if len(parts) > 1 else Piece(p, next(ids), None) for p in parts] for parts in level]
+    while any(len(p) > 1 for p in level):
+        joins = [[_Join(a, b, reach) for a, b in zip(p[::2], p[1::2], strict=True)] if len(p) > 1 else [] for p in level]
+        open_ = [(j, e) for own, e in zip(joins, easy, strict=True) for j in own]
         while open_:
-            windows = [j.window() for j in open_]
-            for j, text, e in zip(open_, windows, tok.encode_batch(windows, add_special_tokens=False), strict=True):
-                j.take(Piece.of(text, e, special))
-            open_ = [j for j in open_ if j.done is None]
-        level |= {i: [j.result() for j in own] for i, own in joins.items()}
-    for i, (root,) in level.items():
-        out[i] = root.ids
-    return out
+            windows = [j.window() for j, _ in open_]
+            for (j, _), data, got in zip(open_, windows, encode([w.decode() for w in windows], [e for _, e in open_]), strict=True):
+                j.take(Piece.of(data, got, lengths))
+            open_ = [x for x in open_ if x[0].done is None]
+        level = [[j.done for j in own] if own else p for own, p in zip(joins, level, strict=True)]
+    return [root.ids for (root,) in level]
 
 
 def decode_ids(ids: list[np.ndarray], path: str) -> list[str]:
     """What Tokenizer.decode(ids, skip_special_tokens=False) gives for each: the tokens' bytes, as UTF-8."""
-    table, starts, lengths, quick = vocabulary(path)
-    if quick is None:
+    table, starts, lengths, _, plain = vocabulary(path)
+    if not plain:
         return tokenizer(path).decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
     out = []
     for own in ids:
@@ -235,7 +228,7 @@ def _slices(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode(docs: DataFrame, path: str, piece_chars: int = PIECE, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, piece_bytes: int = PIECE, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256
     (of the decoded text), with `keep_ids` the ids and with `keep_text` the decoded text.
 
@@ -247,7 +240,7 @@ def encode(docs: DataFrame, path: str, piece_chars: int = PIECE, keep_ids: bool
         for batch in batches:
             ids, texts = batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()]
             for part in _slices(texts):
-                tokens = encode_texts(texts[part], path, piece_chars)
+                tokens = encode_texts(texts[part], path, piece_bytes)
                 decoded = decode_ids(tokens, path)
                 columns = {
                     "doc_id": ids[part],

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.packaging import ship
 from . import kernel
 
-SEED, TILE, COVERAGE = 5, 4, 0.5
+SEED, TILE, COVERAGE = 4, 4, 0.5
 BLOCK_BYTES = 8 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,7 +127,7 @@ def _judge(items: list[tuple[int, str]], coverage: float) -> Callable[[pa.Record
         out = {k: [] for k in ("row", "item_id", "covered", "words", "tiles")}
         for r, o in sorted(pairs):
             item = sequences[o]
-            tiles = tile(words[at[r] : at[r + 1]], item)
+            tiles = tile(words[at[r] : at[r + 1]], item, min(TILE, len(item)))
             covered = sum(k for _, _, k in tiles)
             if covered >= coverage * len(item):
                 for name, x in zip(out, (r, names[o], covered, len(item), [{"item_start": t, "doc_start": d, "length": k} for t, d, k in tiles]), strict=True):
@@ -190,8 +190,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, covered_words, item_words, tiles): documents whose tiles cover at least `coverage` of an item.
 
-    Null or empty texts and items share no seed; an item of fewer than SEED words is found where a document's text is that
-    item. Repeated rows give repeated results; rows with a null doc_id or item_id keep it; empty tables give an empty
+    Null or empty texts and items share no seed; an item of fewer than SEED words, which may be any phrase, is found where a
+    document's text is that item. Of equally long tiles the one that starts last in the item, then in the document, is marked first. Repeated rows give repeated results; rows with a null doc_id or item_id keep it; empty tables give an empty
     result. Only doc_id, text and item_id are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

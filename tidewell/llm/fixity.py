@@ -8,7 +8,7 @@ exchanged is one hash per record and below.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -17,30 +17,42 @@ RANGE_BYTES = 1 << 16
 FANOUT = 8
 #: Pages of one archive file when pages are laid out as archives.
 ARCHIVE_PAGES = 256
+#: Archive files over which pages without an id are spread; negative page ids are not expected.
+NULL_ARCHIVES = 4096
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """`pages` laid out as archive files: page_id, archive, offset, length and hash of each record.
+def page_records(pages: DataFrame, replica: Column | None = None) -> DataFrame:
+    """`pages` laid out as archive files: page_id, archive, offset, length and hash of each record; with `replica` (the page as
+    another copy of the archives holds it) also replica_length and replica_hash of the record at the same place.
 
-    A record is the header and the page; files take pages in the order of page_id. Null ids go to archive -1, null urls and
-    pages are empty; repeated rows are records one after the other. The body does not pass the exchange that orders records.
+    A record is the header and the page; files take pages in the order of page_id. Null ids go to NULL_ARCHIVES files of their
+    own, by the hash of the record; null urls and pages are empty; repeated rows and ids are records one after the other. The
+    body does not pass the exchange that orders records.
     """
-    body = F.coalesce(F.col("html"), F.lit(""))
-    record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "),
-        F.coalesce(F.col("url"), F.lit("")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nContent-Length: "),
-        F.octet_length(body).cast("string"),
-        F.lit("\r\n\r\n"),
-        body,
-        F.lit("\r\n\r\n"),
-    )
-    archive = F.coalesce(F.expr(f"floor(page_id / {ARCHIVE_PAGES}D)"), F.lit(-1)).cast("long")
-    rows = pages.select("page_id", archive.alias("archive"), record.alias("r")).select("page_id", "archive", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("hash"))
+
+    def record(body: Column) -> Column:
+        return F.concat(
+            F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "),
+            F.coalesce(F.col("url"), F.lit("")),
+            F.lit("\r\nWARC-Record-ID: <urn:page:"),
+            F.coalesce(F.col("page_id").cast("string"), F.lit("")),
+            F.lit(">\r\nContent-Length: "),
+            F.octet_length(body).cast("string"),
+            F.lit("\r\n\r\n"),
+            body,
+            F.lit("\r\n\r\n"),
+        )
+
+    def measured(body: Column, name: str) -> list[Column]:
+        r = record(F.coalesce(body, F.lit("")))
+        return [F.octet_length(r).cast("long").alias(f"{name}length"), F.sha2(r, 256).alias(f"{name}hash")]
+
+    both = ["replica_length", "replica_hash"] if replica is not None else []
+    rows = pages.select("page_id", *measured(F.col("html"), ""), *(measured(replica, "replica_") if both else []))
+    nameless = -1 - F.pmod(F.xxhash64("hash"), F.lit(NULL_ARCHIVES))
+    rows = rows.withColumn("archive", F.coalesce(F.expr(f"floor(page_id / {ARCHIVE_PAGES}D)").cast("long"), nameless))
     before = Window.partitionBy("archive").orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("page_id", "archive", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "hash")
+    return rows.select("page_id", "archive", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "hash", *both)
 
 
 def _node_hash(order: str, parts: str) -> F.Column:

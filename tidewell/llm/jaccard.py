@@ -10,7 +10,8 @@ The order: shingles are ranked by hash, and those that more than COMMON distinct
 passage or line that many documents share makes no region unless a document has little else. Shingles with the upper
 1 - LOW of hashes rank last and are not counted: a document's first shingles hardly ever reach them.
 
-What is exchanged: a row per low shingle and distinct set. Copies are dropped before, by the digests of their sets.
+What is exchanged: a row per low shingle and distinct set, once to count (with partial counts before) and once to join the counts,
+where a shingle that very many sets hold can be split. Copies are dropped before, by the digests of their sets.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from ..functions.packaging import ship
 from . import kernel, metricjoin
-from .common import BROADCAST_BYTES, broadcast_checked, materialize, release
+from .common import KEY_BYTES, broadcast_checked, materialize, release
 
-LOW = 0.6
+LOW = 0.45
 COMMON = 16
 CLASSES = 64
 #: Sets of so many shingles get a second sketch of so many classes.
@@ -130,33 +131,27 @@ def _keyed(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
     return plain.union(strange.select(_number().alias("node"), "text"))
 
 
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows * 16 <= BROADCAST_BYTES else df
-
-
 def _components(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, text_key, n, and of rows whose set is not empty the component's `root` (a number that no other
     component has) and component_id."""
     sets = materialize(set_digests(docs), "sets")
-    odd = sets.groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).filter("k > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"))
-    odd = materialize(odd, "odd-ids") if odd.limit(1).count() else None
-    key = F.col("doc_id")
-    if odd is not None:
-        sets = sets.join(odd, sets["doc_id"].eqNullSafe(odd["odd_id"]), "left")
+    odd = sets.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b or doc_id is null").select(F.col("doc_id").alias("odd_id"))
+    odd = materialize(odd, "odd-ids")
+    if odd.limit(1).count():
+        joined = sets.join(odd, sets["doc_id"].eqNullSafe(odd["odd_id"]), "left")
         key = F.when(F.col("doc_id").isNull() | F.col("odd_id").isNotNull(), _number()).otherwise(F.col("doc_id"))
-        sets = materialize(sets.withColumn("key", key).drop("odd_id"), "keyed-sets")
+        sets = materialize(joined.withColumn("key", key).drop("odd_id"), "keyed-sets")
     else:
-        sets = sets.withColumn("key", F.col("doc_id"))
+        odd, sets = None, sets.withColumn("key", F.col("doc_id"))
     # One node per set: one of its documents stands for the others.
     reps = sets.filter("n > 0").groupBy("digest", "n", "low").agg(F.max("key").alias("node"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     reps = materialize(reps, "representatives")
     others = sets.join(reps.select(F.col("node").alias("key")), "key", "left_anti").select(F.col("key").alias("node")).distinct()
-    others = materialize(others, "copies")
     keyed = _keyed(docs, odd)
-    alone = keyed.join(_checked(others, others.count()), "node", "left_anti")
+    alone = keyed.join(broadcast_checked(materialize(others, "copies"), KEY_BYTES), "node", "left_anti")
 
-    held = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
-    shared = materialize(_ranked(alone).withColumn("held", held).filter("held > 1"), "shared")
+    counts = _ranked(alone).groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = materialize(_ranked(alone).join(counts, "shingle"), "shared")
     release(docs.sparkSession)
     rows = shared.join(reps.select("node", "n", "low"), "node")
     heads = F.expr("n - (n * 3 + 3) div 4 + 1")
@@ -167,15 +162,13 @@ def _components(docs: DataFrame) -> DataFrame:
     rank = F.when(F.col("place") >= F.col("low"), F.col("place")).when(F.col("common") == 1, F.col("low") - F.col("commons") + F.col("before")).otherwise(F.col("place") - F.col("before"))
     rows = materialize(rows.filter(rank < heads).select(F.col("shingle").alias("region"), "node", (F.col("commons") / F.col("n")).alias("weight")), "prefixes")
     release(docs.sparkSession)
-
-    members = materialize(metricjoin.distinct_regions(rows.select("region", "node").distinct()).select("region", "node"), "members")
     weights = rows.groupBy("node").agg(F.max("weight").alias("weight"))
     nodes = materialize(reps.select("node", "n", "sketch", "wide").join(weights, "node"), "nodes")
 
     def fetch(asked: DataFrame) -> DataFrame:
-        return _members(keyed.join(_checked(asked, asked.count()), "node", "left_semi")).dropDuplicates(["node"])
+        return _members(keyed.join(broadcast_checked(asked, KEY_BYTES), "node", "left_semi")).dropDuplicates(["node"])
 
-    roots = metricjoin.link(members, nodes, fetch)
+    roots = metricjoin.link(rows.select("region", "node"), nodes, fetch)
     labels = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = materialize(labels.join(least, "root").select("digest", "root", "component_id"), "labels")

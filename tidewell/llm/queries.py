@@ -30,11 +30,10 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages laid out as archives, against a replica in which some records are damaged or lost."""
     pages = _table(spark, sf_dir, "pages")
-    first = materialize(fixity.page_records(pages), "records")
     damaged = F.when(F.col("page_id") % 53 == 7, F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    layout = first.filter("page_id % 59 <> 11 or page_id is null")
-    other = fixity.page_records(pages.withColumn("html", damaged)).select("page_id", F.col("length").alias("l"), F.col("hash").alias("h"))
-    second = materialize(layout.select("page_id", "archive", "offset").join(other, "page_id").select("archive", "offset", F.col("l").alias("length"), F.col("h").alias("hash")), "replica")
+    laid = materialize(fixity.page_records(pages, damaged), "records")
+    second = laid.filter("page_id % 59 <> 11 or page_id is null").select("archive", "offset", F.col("replica_length").alias("length"), F.col("replica_hash").alias("hash"))
+    first = laid.select("page_id", "archive", "offset", "length", "hash")
     found = fixity.audit(first.drop("page_id"), second)
     return first.join(found, ["archive", "offset"], "left").select(
         "page_id", "archive", F.col("offset").alias("rec_offset"), F.col("length").alias("rec_length"), F.col("hash").alias("rec_sha256"), F.coalesce("status", F.lit("ok")).alias("status")
