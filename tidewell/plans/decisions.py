@@ -9,7 +9,7 @@ from ..functions import numeric, text
 from ..operators import progress, recall, retrieval, sessions
 from ..sources.tables import questions, read
 from .retrieval import _WORDS
-from .sessions import lines
+from .sessions import SINGLE_BYTES, lines
 
 
 def w18_command_gains(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,9 +167,9 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM bm), t AS (SELECT query_id, max(score) FILTER (r = 1) AS t1, max(score) FILTER (r = 2) AS t2 FROM k WHERE r <= 2 GROUP BY query_id),
 z AS (SELECT t1, least(9, floor(t1 / 100 * 10))::INT AS bin, CASE WHEN t1 <= 0 OR t1 < 45e-2 THEN 'miss' WHEN t1 >= 7e-1 AND t1 - coalesce(t2, 0) >= 55e-2 * t1 THEN 'hit' ELSE 'grey' END AS zone FROM t)
 SELECT bin, count(*) AS n, count(*) FILTER (zone = 'hit') AS n_hit, count(*) FILTER (zone = 'grey') AS n_grey, count(*) FILTER (zone = 'miss') AS n_miss, round(avg(t1), 4) AS mean_top1 FROM z GROUP BY bin""",
-    "r34_request_decisions": """WITH r AS (SELECT conv_id, turn, regexp_replace(substr(text, 1, 50), '[^ -~]', '?', 'g') AS q, length(text) % 100 / 1e2 AS a, length(text) % 77 / 77e0 AS b FROM conversations WHERE role = 'user'),
-d AS (SELECT *, CASE WHEN a > 0 AND a / 9e-1 >= 8e-1 THEN 'reuse' WHEN b > 0 AND b / 9e-1 >= 8e-1 THEN 'inject' ELSE 'forward' END AS decision FROM r), l AS (SELECT *, lag(q) OVER w AS pq, lag(decision) OVER w AS pd FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT decision, coalesce(pd = 'reuse' AND 1e0 - levenshtein(pq, q) / greatest(length(pq), length(q)) >= 6e-1, false) AS false_hit, count(*) AS n FROM l GROUP BY ALL""",
+    "r34_request_decisions": f"""WITH {SINGLE_BYTES}, r AS (SELECT conv_id, turn, translate(text, letters, bytes) AS q, length(text) % 100 / 1e2 AS x, length(text) % 77 / 77e0 AS y FROM conversations, a WHERE role = 'user'),
+d AS (SELECT *, CASE WHEN x > 0 AND x / 9e-1 >= 8e-1 THEN 'reuse' WHEN y > 0 AND y / 9e-1 >= 8e-1 THEN 'inject' ELSE 'forward' END AS decision FROM r), l AS (SELECT *, lag(q) OVER w AS pq, lag(decision) OVER w AS pd FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT decision, coalesce(pd = 'reuse' AND greatest(length(pq), length(q)) <= 2048 AND 1e0 - levenshtein(pq, q) / greatest(length(pq), length(q)) >= 6e-1, false) AS false_hit, count(*) AS n FROM l GROUP BY ALL""",
     "n21_load_gate": "SELECT CASE WHEN user_id % 10 / 1e1 >= 8e-1 THEN 'saturated' WHEN event_id % 100 > 0 AND event_id % 100 < 30 THEN 'too_short' ELSE 'open' END AS gate, count(*) AS n FROM events GROUP BY ALL",
     "x09_missing_sources": "SELECT c_custkey AS path, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "a24_run_metrics": "SELECT 's' || (user_id % 3) AS source, event_type, count(*) AS n, grouping('s' || (user_id % 3), event_type)::BIGINT AS level FROM events GROUP BY ROLLUP ('s' || (user_id % 3), event_type)",

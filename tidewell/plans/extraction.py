@@ -57,6 +57,6 @@ SELECT content, count(DISTINCT conv_id) AS sessions FROM c GROUP BY content""",
 SELECT 'user_text' AS kind, '' AS tool, text FROM b WHERE role = 'user' UNION ALL SELECT 'assistant_text', '', text FROM b WHERE role = 'assistant'
 UNION ALL SELECT 'tool_input', CASE WHEN turn % 2 = 1 THEN 'read' ELSE 'bash' END, CASE WHEN turn % 2 = 1 THEN 'read {}' ELSE 'bash {}' END FROM b WHERE calls UNION ALL SELECT 'tool_input', 'edit', 'edit {}' FROM b WHERE calls)
 SELECT kind, tool, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM d WHERE regexp_matches(text, '[\\p{L}\\p{Nd}_]') GROUP BY ALL""",
-    "f21_cells": """WITH c AS (SELECT conv_id, turn, regexp_replace(substr(text, 1, 200), '[\\t\\r\\n]', ' ', 'g') AS cell FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(cell, '^[=+@-]') THEN '''' || cell ELSE cell END AS cell FROM c""",
+    "f21_cells": """WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS cell FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(cell, '^[=+@-]') THEN '''' || cell ELSE cell END AS cell FROM c""",
     "f16_versions": """SELECT doc_id, sha256(text) AS version, 'e-' || substr(sha256(text), 1, 16) AS replay, substr(sha256('\\x04\\x01'::BLOB || encode(text)), 1, 16) AS slice_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}_]+'))::INT AS n_tokens FROM documents""",
 }

@@ -231,6 +231,10 @@ _TR = """x AS (SELECT event_type AS prev, lead(event_type) OVER (PARTITION BY us
 _S = """s AS (SELECT o_orderkey AS id, o_orderpriority AS scope, o_custkey % 200 AS topic, (o_totalprice / 1000)::BIGINT AS turns, CASE WHEN o_orderkey % 29 = 0 THEN 'corrupt' WHEN o_orderkey % 31 = 0 THEN 'unknown' ELSE 'valid' END AS turns_state,
  o_orderkey % 4 = 0 AS recovered, CASE WHEN o_orderkey % 12 = 0 THEN 'preferred' WHEN o_orderkey % 12 = 4 THEN 'diverged' WHEN o_orderkey % 12 = 8 THEN 'covered_copy' ELSE '' END AS role, CASE WHEN o_orderkey % 37 = 0 THEN 'corrupt' WHEN o_orderkey % 41 = 0 THEN 'missing' ELSE 'ok' END AS health, o_orderdate AS activity FROM orders)"""
 
+#: DuckDB's edit distance counts bytes: each letter outside ASCII becomes a control character that texts do not hold (29 at most).
+SINGLE_BYTES = """a AS (SELECT (SELECT coalesce(string_agg(DISTINCT c, ''), '') FROM (SELECT unnest(string_split(text, '')) AS c FROM conversations) WHERE unicode(c) > 127) AS letters,
+(SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(1, 128) AS t(i) WHERE (i < 32 OR i = 127) AND i NOT IN (9, 10, 13)) AS bytes)"""
+
 SQL = {
     "w06_turns": "SELECT conv_id AS session, turn AS line, role, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS turn_no FROM conversations",
     "w13_final_result": "SELECT conv_id AS session, max(turn) AS line, sha256(arg_max(text, turn)) AS version FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
@@ -243,9 +247,9 @@ d AS (SELECT *, (sum(hd::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS
     "a11_tool_rates": "SELECT 'tool' || (user_id % 7) AS name, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures, round(avg(value), 6) AS mean_duration, round(1e0 - count(*) FILTER (event_type = 'error') / count(*), 6) AS success_rate FROM events GROUP BY ALL",
     "a10_rounds": """WITH r AS (SELECT user_id AS session, event_type, (sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS round_no FROM events)
 SELECT session, round_no, count(*) AS dispatched, count(*) FILTER (event_type <> 'error') AS succeeded FROM r WHERE event_type <> 'signup' GROUP BY ALL""",
-    "t06_false_hit": """WITH q AS (SELECT conv_id AS session, turn AS seq, regexp_replace(substr(text, 1, 60), '[^ -~]', '?', 'g') AS query, turn % 3 <> 1 AS reused FROM conversations WHERE role = 'user'),
-l AS (SELECT *, lag(query) OVER w AS b, lag(reused) OVER w AS r FROM q WINDOW w AS (PARTITION BY session ORDER BY seq)),
-d AS (SELECT session, seq, CASE WHEN r THEN round(1e0 - levenshtein(b, query) / greatest(length(b), length(query)), 6) END AS similarity FROM l) SELECT *, coalesce(similarity >= 3e-1, false) AS false_hit FROM d""",
+    "t06_false_hit": f"""WITH {SINGLE_BYTES}, q AS (SELECT conv_id AS session, turn AS seq, translate(text, letters, bytes) AS query, turn % 3 <> 1 AS reused FROM conversations, a WHERE role = 'user'),
+l AS (SELECT *, lag(query) OVER w AS b, lag(reused) OVER w AS r, greatest(length(b), length(query)) AS longest FROM q WINDOW w AS (PARTITION BY session ORDER BY seq)),
+d AS (SELECT session, seq, CASE WHEN r AND longest > 2048 THEN 0e0 WHEN r THEN round(1e0 - levenshtein(b, query) / longest, 6) END AS similarity FROM l) SELECT *, coalesce(similarity >= 3e-1, false) AS false_hit FROM d""",
     "x02_upsert": "SELECT user_id, event_type, event_id, json_extract(props, '$.k')::BIGINT AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "s12_quotas": """WITH s AS (SELECT lang || '/' || source AS stratum, count(*) AS size FROM documents GROUP BY ALL), e AS (SELECT *, size * 137 / sum(size) OVER () AS x FROM s), f AS (SELECT *, floor(x)::BIGINT AS seats FROM e),
 g AS (SELECT *, 137 - sum(seats) OVER () AS rest, row_number() OVER (ORDER BY round(x - seats, 9) DESC, stratum) AS spot FROM f) SELECT stratum, size, seats + (spot <= rest)::INT AS seats FROM g""",
