@@ -43,6 +43,25 @@ def currency(c: Column) -> Column:
     return out
 
 
+def significant(c: Column, digits: int = 12) -> Column:
+    """A number in its shortest form of at most so many significant digits, with an exponent below -4 or from `digits` on."""
+    form = F.format_string(f"%.{digits - 1}e", c.cast("double"))
+    mantissa, power = F.substring_index(form, "e", 1), F.substring_index(form, "e", -1).cast("int")
+    sign, number = F.when(c < 0, "-").otherwise(""), F.regexp_replace(mantissa, "[-.]", "")
+    strip = lambda t: F.regexp_replace(t, "\\.?0+$", "")
+    fraction = lambda head, tail: strip(F.concat(head, F.lit("."), tail))
+    small = fraction(F.lit("0"), F.concat(F.repeat(F.lit("0"), -power - 1), number))
+    whole = fraction(F.substring(number, F.lit(1), power + 1), F.concat(F.substring(number, power + 2, F.lit(digits)), F.lit("0")))
+    signed = F.concat(F.when(power < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(power)))
+    large = F.concat(fraction(F.substring(number, 1, 1), F.substring(number, 2, digits)), F.lit("e"), signed)
+    return F.when(c == 0, "0").otherwise(F.concat(sign, F.when((power < -4) | (power >= digits), large).when(power < 0, small).otherwise(whole)))
+
+
+def pricing_fingerprint(code: Column, hit: Column, miss: Column, output: Column) -> Column:
+    """The first eight bytes of the SHA-256 of a rate card, in hex."""
+    return F.substring(F.sha2(F.concat_ws("|", currency(code), *map(significant, (hit, miss, output))), 256), 1, 16)
+
+
 def cache_bucket(hit: Column, miss: Column) -> Column:
     percent = F.floor(hit * 100 / F.when(hit + miss > 0, hit + miss))
     return F.when(percent.isNull(), "unknown").when(percent == 0, "0").when(percent < 25, "1_24").when(percent < 50, "25_49").when(percent < 75, "50_74").when(percent < 90, "75_89").otherwise("90_100")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numeric
+from ..functions import numeric, records
 
 MEASURES = ("tokens_in", "tokens_out", "cache_hit_tokens", "injected_tokens", "slice_hits")
 
@@ -124,3 +124,25 @@ def nearest_rank(values: DataFrame, group: str, value: str, share: float = 0.99,
     recent = values.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("seq")))).filter(F.col("at") <= last)
     lists = recent.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("v"), F.min(F.when(F.col("at") <= 3, F.col(value))).alias("least_recent"))
     return lists.select(group, F.element_at("v", F.greatest(F.lit(1), F.ceil(F.size("v") * share).cast("int"))).alias("p99"), "least_recent", F.size("v").alias("n"))
+
+
+def valuations(quotes: DataFrame, catalog: DataFrame, target: str) -> DataFrame:
+    """Adds `official`, whether a quote's rates are those of the catalog, and its `valuation` in the target currency.
+
+    `quotes`: id, provider, model, currency, hit, miss, output (tokens), rate_hit, rate_in, rate_out; `catalog`: provider,
+    model, currency, mode, rate_hit, rate_in, rate_out, one row a provider, model, currency and mode. Equal rates of several
+    modes count as pay-as-you-go first, then by name. The valuation is by the peer in the target currency of the same mode,
+    else of pay-as-you-go; none for quotes in that currency or off the catalog.
+    """
+    rates = ["rate_hit", "rate_in", "rate_out"]
+    listed = catalog.withColumn("currency", records.currency(F.col("currency")))
+    keys = ["provider", "model", "currency", *rates]
+    place = F.struct((F.col("mode") != "payg").alias("later"), F.col("mode").alias("mode"))
+    known = listed.groupBy(*keys).agg(F.min(place)["mode"].alias("official_mode"))
+    rows = quotes.withColumn("provider", F.lower(F.trim("provider"))).withColumn("model", F.trim("model")).withColumn("currency", records.currency(F.col("currency")))
+    peers = listed.filter(F.col("currency") == target).groupBy("provider", "model").agg(F.map_from_entries(F.collect_list(F.struct("mode", F.struct(*rates)))).alias("peers"))
+    found = rows.join(known, keys, "left").join(peers, ["provider", "model"], "left")
+    peer = F.coalesce(F.col("peers")[F.col("official_mode")], F.col("peers")["payg"])
+    worth = numeric.token_cost(F.col("hit"), F.col("miss"), F.col("output"), peer["rate_hit"], peer["rate_in"], peer["rate_out"])
+    valued = F.when((F.col("currency") != target) & F.col("official_mode").isNotNull(), worth)
+    return found.withColumn("official", F.col("official_mode").isNotNull()).withColumn("valuation", valued).drop("peers", "official_mode")

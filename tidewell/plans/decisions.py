@@ -49,14 +49,11 @@ def r27_history_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r29_docs_search(spark: SparkSession, folder: str) -> DataFrame:
-    """BM25 with a bonus for terms in the heading (a document's first forty characters), more for documents in English."""
-    docs = read(spark, folder, "documents").select(F.lit("docs").alias("scope"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    scored = retrieval.bm25(questions(spark, folder), docs)
-    top = retrieval.top_k(scored, 20, ("query_id",)).drop("rank")
-    rows = top.join(read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", F.substring("text", 1, 40).alias("heading")), "id").join(questions(spark, folder), "query_id")
-    shared = F.size(F.array_intersect(text.unique_terms(text.tokens("query")), text.tokens("heading")))
-    boosted = (F.col("score") + 0.35 * shared) * F.when(F.col("lang") == "en", 1.15).otherwise(1.0)
-    return retrieval.top_k(rows.select("query_id", "id", F.round(boosted, 6).alias("score")), 3, ("query_id",)).select("query_id", "rank", "id", "score")
+    """The five best documents as sections, their first line as the heading, English preferred; no document has a version."""
+    docs = read(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("content"), F.substring_index("text", "\n", 1).alias("heading"), F.col("lang").alias("locale"), F.lit(None).cast("string").alias("version")
+    )
+    return retrieval.docs_search(questions(spark, folder), docs, "en")
 
 
 def r18_verify_replay(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,9 +156,9 @@ SELECT session, round_no, tools, CASE WHEN session % 10 = 0 THEN 'intent:mutatio
     "r27_history_search": f"""WITH {_search(f"SELECT conv_id * 1000 + turn AS id, {_WORDS.format('text')} AS t FROM conversations WHERE role <> 'system'", f"SELECT item_id AS query_id, {_WORDS.format('text')} AS t FROM benchmark")},
 k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM bm) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM k WHERE score >= 2e-1 * top QUALIFY rank <= 8""",
     "r29_docs_search": f"""WITH {_search(f"SELECT doc_id AS id, {_WORDS.format('text')} AS t FROM documents", f"SELECT item_id AS query_id, {_WORDS.format('text')} AS t FROM benchmark")},
-k AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20),
-b AS (SELECT k.query_id, k.id, round((score + 35e-2 * len(list_intersect(list_distinct(q.t), {_WORDS.format('substr(text, 1, 40)')}))) * CASE WHEN lang = 'en' THEN 115e-2 ELSE 1e0 END, 6) AS score FROM k JOIN documents ON doc_id = k.id JOIN q ON q.query_id = k.query_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM b QUALIFY rank <= 3""",
+b AS (SELECT bm.query_id, bm.id, round((score + 35e-2 * len(list_intersect(list_distinct(q.t), {_WORDS.format("split_part(d.text, chr(10), 1)")})) + CASE WHEN contains(lower(d.text), lower(trim(m.text))) THEN 15e-1 ELSE 0e0 END)
+ * CASE WHEN lang = 'en' THEN 115e-2 ELSE 1e0 END, 8) AS score FROM bm JOIN documents d ON doc_id = bm.id JOIN q ON q.query_id = bm.query_id JOIN benchmark m ON m.item_id = bm.query_id), t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM b)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM t WHERE score >= 15e-2 * top QUALIFY rank <= 5""",
     "r18_verify_replay": f"""WITH u AS (SELECT conv_id, conv_id * 1000 + turn AS id, {_WORDS.format('text')} AS t FROM conversations WHERE role = 'user'), h AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) <= least(greatest(floor(count(*) OVER () * 7e-1), 1), count(*) OVER () - 1) AS train FROM (SELECT DISTINCT conv_id FROM u)),
 {_search("SELECT id, t FROM u JOIN h USING (conv_id) WHERE train", "SELECT id AS query_id, t FROM u JOIN h USING (conv_id) WHERE NOT train")},
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM bm), t AS (SELECT query_id, max(score) FILTER (r = 1) AS t1, max(score) FILTER (r = 2) AS t2 FROM k WHERE r <= 2 GROUP BY query_id),
