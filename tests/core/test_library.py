@@ -180,3 +180,15 @@ def test_version_and_phrase_win(spark):
     assert [r.id for r in rows if r.query_id == 1] == [2]
     assert rows[0].score == 115.0
     assert next(r.id for r in rows if r.query_id == 2) == 1
+
+
+def test_searches_beyond_the_broadcast_bound(spark, monkeypatch):
+    r = random.Random(2)
+    vectors = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "id int, vector array<double>")
+    asked = vectors.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    docs = spark.createDataFrame([("s", i, " ".join(r.choices("abcdefgh", k=6))) for i in range(30)], "scope string, id int, content string")
+    queries = spark.createDataFrame([(i, " ".join(r.choices("abcdefgh", k=3))) for i in range(5)], "query_id int, query string")
+    near = [sorted(map(tuple, retrieval.vector_search(asked, vectors, 3).collect())), sorted(map(tuple, retrieval.hashed_search(queries, docs).collect()))]
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 100)
+    far = [sorted(map(tuple, retrieval.vector_search(asked, vectors, 3).collect())), sorted(map(tuple, retrieval.hashed_search(queries, docs).collect()))]
+    assert near == far and near[0] and near[1]
