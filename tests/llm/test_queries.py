@@ -17,6 +17,8 @@ FIRST = {
     "op6_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op9_external_shuffle": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10_jaccard_components": ["doc_id", "n_shingles", "component_id"],
+    "op11_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fixity, jaccard, langid, mil, outliers, paragraphs, secretscan, sharding
+from . import bpe, decontam, fixity, infill, jaccard, langid, linededup, mil, outliers, paragraphs, secretscan, sharding
 from .common import materialize
 
 
@@ -110,6 +110,41 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id"""
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=True)
+    kept = linededup.apply_runs(F.col("text"), F.col("keep_runs"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+d AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+v AS (SELECT l.doc_id, l.i, l.line, d.k IS NOT NULL AND l.doc_id <> d.keeper AS dropped FROM l LEFT JOIN d ON d.k = l.k)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM v GROUP BY doc_id"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = infill.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN [0, 1, 2, 3]] AS h FROM t),
+c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM u),
+p AS (SELECT doc_id, n, t, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_robust_outliers": op1_robust_outliers,
@@ -122,8 +157,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_paragraph_minhash": op8_paragraph_minhash,
         "op9_external_shuffle": op9_external_shuffle,
         "op10_jaccard_components": op10_jaccard_components,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_merkle_audit": OP2_SQL, "op10_jaccard_components": OP10_SQL}
+    return {"op2_merkle_audit": OP2_SQL, "op10_jaccard_components": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
