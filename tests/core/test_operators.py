@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import catalog, decide, extraction, learning, lifecycle, retrieval, sessions, usage
 from tidewell.sources import transcripts
-from tidewell.streaming import learners
+from tidewell.streaming import learners, rollup
 
 
 def test_bm25_is_scope_local(spark):
@@ -75,8 +75,8 @@ def test_streams(spark, tmp_path):
 
 def test_rollup_receipts_are_idempotent(spark, tmp_path):
     batch = spark.createDataFrame([("f", i, "2024-01-01", "s", "m", 5) for i in range(4)], "file string, offset long, day string, source string, model string, total long")
-    for b in (batch, batch, batch.union(spark.createDataFrame([("f", 9, "2024-01-01", "s", "m", 1)], batch.schema))):
-        learners.upsert_rollup(b, str(tmp_path / "receipts"), str(tmp_path / "rollup"))
+    for i, b in enumerate((batch, batch, batch.union(spark.createDataFrame([("f", 9, "2024-01-01", "s", "m", 1)], batch.schema)))):
+        rollup.upsert_rollup(b, i, str(tmp_path / "receipts"), str(tmp_path / "rollup"))
     got = spark.read.parquet(str(tmp_path / "rollup")).agg(F.sum("total"), F.sum("requests")).first()
     assert tuple(got) == (21, 5)
 

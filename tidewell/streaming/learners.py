@@ -65,19 +65,3 @@ def daily_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
 def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of a stream (ts, user): windows that a gap ends."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user").agg(F.count(F.lit(1)).alias("n")).select("user", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
-
-
-def upsert_rollup(batch: DataFrame, receipts: str, rollup: str) -> None:
-    """For foreachBatch: add rows (file, offset, day, source, model, total) to a rollup once; rows that are receipted already are
-    ignored, so a repeated batch changes nothing. Each batch's sums are appended; readers sum them."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["file", "offset"])
-    try:
-        fresh = fresh.join(spark.read.parquet(receipts).select("file", "offset"), ["file", "offset"], "left_anti")
-    except Exception as e:  # no receipts yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh = fresh.cache()
-    fresh.groupBy("day", "source", "model").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("requests")).write.mode("append").parquet(rollup)
-    fresh.select("file", "offset").write.mode("append").parquet(receipts)
-    fresh.unpersist()
