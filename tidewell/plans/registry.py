@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decisions, extraction, history, library, lineage, prefetch, retrieval, sessions, usage
+from . import decisions, evolution, extraction, history, library, lineage, prefetch, retrieval, sessions, usage
 
-_PLANS = (retrieval, usage, sessions, extraction, decisions, library, prefetch, lineage, history)
+_PLANS = (retrieval, usage, sessions, extraction, decisions, library, prefetch, lineage, history, evolution)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
