@@ -93,10 +93,31 @@ def quotas(strata: DataFrame, n: int) -> DataFrame:
     whole = F.sum("size").over(Window.partitionBy(F.lit(0)))
     exact = strata.withColumn("exact", F.col("size") * n / whole).withColumn("seats", F.floor("exact"))
     left = exact.withColumn("left", F.lit(n) - F.sum("seats").over(Window.partitionBy(F.lit(0))))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("exact") - F.col("seats"), 9)), "stratum")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("exact") - F.col("seats"), 9)), "stratum")  # one row a stratum
     return left.withColumn("at", F.row_number().over(order)).select("stratum", "size", (F.col("seats") + (F.col("at") <= F.col("left")).cast("int")).alias("seats"))
 
 
+def draw(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """A sample of `n` rows (key, stratum), or all if there are fewer: each stratum's seats by largest remainders, filled with
+    the least hashes of seed and key, so the same rows are drawn from any layout. Keys are unique.
+
+    A stratum's hashes are even numbers from 0 to 1, so its seats lie below a cut a little above their share; only what is below
+    is ranked. Strata that have too few rows below their cut are ranked in full.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    even = F.conv(F.substring("__digest", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
+    seats = quotas(sizes, n).select(F.col("stratum").alias("__stratum"), F.least("seats", "size").alias("__seats"), ((F.col("seats") + 10 * F.sqrt("seats") + 20) / F.col("size")).alias("__cut"))
+    hashed = rows.withColumn("__digest", digest).join(seats, F.col("stratum").eqNullSafe(F.col("__stratum"))).filter("__seats > 0")
+    low = hashed.filter(even < F.col("__cut"))
+    enough = low.groupBy("__stratum").agg(F.count(F.lit(1)).alias("__below"))
+    short = seats.join(enough.withColumnRenamed("__stratum", "__found"), F.col("__stratum").eqNullSafe(F.col("__found")), "left").filter(F.coalesce("__below", F.lit(0)) < F.col("__seats"))
+    rest = hashed.filter(even >= F.col("__cut")).join(short.select(F.col("__stratum").alias("__short")), F.col("__stratum").eqNullSafe(F.col("__short")), "left_semi")
+    order = Window.partitionBy("__stratum").orderBy("__digest", key)
+    ranked = low.unionByName(rest).withColumn("__at", F.row_number().over(order)).filter("__at <= __seats")
+    return ranked.select(*rows.columns)
+
+
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Bins of a score in 0..1 against a boolean `good`: every bin is present."""
     spine = scored.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

@@ -78,6 +78,12 @@ def s12_quotas(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.quotas(strata, 137)
 
 
+def s12_draw(spark: SparkSession, folder: str) -> DataFrame:
+    """A sample of 137 documents by language and source."""
+    rows = read(spark, folder, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("stratum"))
+    return sessions.draw(rows, 137, 11, "doc_id")
+
+
 def w12_hold_out(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "labels").select("doc_id", "quality")
     return sessions.hold_out(rows, ["doc_id"], 0.7)
@@ -221,7 +227,7 @@ def r30_listing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        w06_turns, w13_final_result, w08_context, a08_bigrams, r13_prefetch_plan, w07_parallel_groups, a11_tool_rates, a10_rounds, t06_false_hit, f15_slice_ids, x02_upsert, s12_quotas, w12_hold_out, t01_ewma_fold, t02_adaptive,
+        w06_turns, w13_final_result, w08_context, a08_bigrams, r13_prefetch_plan, w07_parallel_groups, a11_tool_rates, a10_rounds, t06_false_hit, f15_slice_ids, x02_upsert, s12_quotas, s12_draw, w12_hold_out, t01_ewma_fold, t02_adaptive,
         t03_beta_posterior, a12_confusion, a14_calibration_bins, a15_policy_eval, r11_judge_chain, n08_freshness, n12_memory_freshness, n19_budget_actions, n11_wilson, w14_keyset_page, a20_topic_rollup, a21_counters, w15_preferred_leaf,
         j09_lineage, p09_search, f13_edit_similarity, f_text_forms, r30_listing,
     )
@@ -253,6 +259,10 @@ d AS (SELECT session, seq, CASE WHEN r AND longest > 2048 THEN 0e0 WHEN r THEN r
     "x02_upsert": "SELECT user_id, event_type, event_id, json_extract(props, '$.k')::BIGINT AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "s12_quotas": """WITH s AS (SELECT lang || '/' || source AS stratum, count(*) AS size FROM documents GROUP BY ALL), e AS (SELECT *, size * 137 / sum(size) OVER () AS x FROM s), f AS (SELECT *, floor(x)::BIGINT AS seats FROM e),
 g AS (SELECT *, 137 - sum(seats) OVER () AS rest, row_number() OVER (ORDER BY round(x - seats, 9) DESC, stratum) AS spot FROM f) SELECT stratum, size, seats + (spot <= rest)::INT AS seats FROM g""",
+    "s12_draw": """WITH s AS (SELECT lang || '/' || source AS stratum, count(*) AS size FROM documents GROUP BY ALL), e AS (SELECT *, size * 137 / sum(size) OVER () AS x FROM s), f AS (SELECT *, floor(x)::BIGINT AS seats FROM e),
+g AS (SELECT *, 137 - sum(seats) OVER () AS rest, row_number() OVER (ORDER BY round(x - seats, 9) DESC, stratum) AS spot FROM f),
+q AS (SELECT stratum, seats + (spot <= rest)::INT AS seats FROM g), r AS (SELECT doc_id, lang || '/' || source AS stratum, row_number() OVER (PARTITION BY lang || '/' || source ORDER BY md5('11:' || doc_id), doc_id) AS n FROM documents)
+SELECT doc_id, stratum FROM r JOIN q USING (stratum) WHERE n <= seats""",
     "w12_hold_out": "WITH r AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS spot, count(*) OVER () AS n FROM labels) SELECT doc_id, quality, spot <= least(greatest(floor(n * 7e-1), 1), n - 1) AS train FROM r",
     "t01_ewma_fold": """WITH RECURSIVE e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id // 10 AS epoch, CASE WHEN event_type IN ('click', 'purchase') THEN 'hit' WHEN event_type = 'error' THEN 'pollution' ELSE 'other' END AS name,
  least(greatest(CASE WHEN event_type = 'purchase' THEN 1e0 WHEN event_type = 'error' THEN value / 40 ELSE value / 5 END, 0e0), 1e0) AS v FROM events),
