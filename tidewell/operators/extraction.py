@@ -119,10 +119,26 @@ def context_entries(lines: DataFrame) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
 
 
+#: The first line of a context, and the titles of its sections in their order. Fixed values.
+CONTEXT, TITLES = "Project context observed from repeated tool calls:", {"paths": "Frequent paths:", "directories": "Frequent directories:", "commands": "Common command heads:"}
+
+
+def contexts(lines: DataFrame) -> DataFrame:
+    """(session, content): what a session's tool calls repeat, as text; sessions that repeat nothing have none.
+
+    Values are counted before they are exchanged, and the best TOP of a section are all that is gathered of a session.
+    """
+    entries = context_entries(lines).withColumn("entry", F.concat(F.lit("- "), "value", F.lit(" ("), F.col("count").cast("string"), F.lit(")")))
+    listed = entries.groupBy("session", "section").agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("e"))
+    texts = listed.select("session", "section", F.array_join(F.transform("e", lambda x: x["entry"]), "\n").alias("body"))
+    parts = texts.groupBy("session").agg(*[F.max(F.when(F.col("section") == k, F.concat(F.lit(t + "\n"), "body"))).alias(k) for k, t in TITLES.items()])
+    return parts.select("session", F.concat_ws("\n", F.lit(CONTEXT), *TITLES).alias("content"))
+
+
 def extract(lines: DataFrame) -> DataFrame:
     """(session, kind, slice_id, content, position) of transcript lines (session, line, role, content, tool_calls).
 
-    Per turn a prompt (its first user line, compacted) and, with two calls or more, the sequence of tool names; per session
+    Per session what its tool calls repeat, as a context of project scope, placed behind all lines. Per turn a prompt (its first user line, compacted) and, with two calls or more, the sequence of tool names; per session
     the last assistant line without calls as the result. Of equal ids in a session the first stays.
     """
     numbered = turns(lines)
@@ -133,7 +149,8 @@ def extract(lines: DataFrame) -> DataFrame:
     patterns = seen.filter(F.size("n") >= LEAST).select("session", F.lit("tool_pattern").alias("kind"), F.array_join(F.transform("n", lambda x: x["name"]), " ").alias("content"), "position")
     last = lines.filter((F.col("role") == "assistant") & (F.coalesce(F.size("tool_calls"), F.lit(0)) <= 0)).groupBy("session").agg(F.max_by("content", "line").alias("content"), F.max("line").alias("position"))
     results = compacted(last, "content", RESULT_BYTES).select("session", F.lit("result").alias("kind"), "content", "position")
-    rows = prompts.unionByName(patterns).unionByName(results).filter("content <> ''")
-    ids = F.when(F.col("kind") == "prompt", text.slice_id("content", "prompt")).when(F.col("kind") == "tool_pattern", text.slice_id("content", "tool_pattern")).otherwise(text.slice_id("content", "result"))
+    repeated = contexts(lines).select("session", F.lit("context").alias("kind"), "content", F.lit(None).cast(dict(results.dtypes)["position"]).alias("position"))
+    rows = prompts.unionByName(patterns).unionByName(results).unionByName(repeated).filter("content <> ''")
+    ids = F.when(F.col("kind") == "context", text.slice_id("content", "context")).when(F.col("kind") == "prompt", text.slice_id("content", "prompt")).when(F.col("kind") == "tool_pattern", text.slice_id("content", "tool_pattern")).otherwise(text.slice_id("content", "result"))
     order = Window.partitionBy("session", "slice_id").orderBy("position")
     return rows.withColumn("slice_id", ids).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")

@@ -126,6 +126,20 @@ def nearest_rank(values: DataFrame, group: str, value: str, share: float = 0.99,
     return lists.select(group, F.element_at("v", F.greatest(F.lit(1), F.ceil(F.size("v") * share).cast("int"))).alias("p99"), "least_recent", F.size("v").alias("n"))
 
 
+def rolling_ranks(values: DataFrame, group: str, value: str, budget: int, share: float = 0.99, last: int = 20, streak: int = 3) -> DataFrame:
+    """Adds to each row (group, seq, value), as of its time: `n` and `p99` of the group's last `last` values, the ceil(share * n)-th
+    of them, and `demote`, whether the last `streak` all reach `budget`. Negative values count as 0; a budget of 0 or less demotes
+    nothing. The frame of a row is `last` rows, whatever the size of the group."""
+    recent = Window.partitionBy(group).orderBy("seq")
+    sample = F.greatest(F.col(value), F.lit(0))
+    frame = F.sort_array(F.collect_list(sample).over(recent.rowsBetween(1 - last, 0)))
+    tail = F.collect_list(sample).over(recent.rowsBetween(1 - streak, 0))
+    rows = values.withColumn("__frame", frame).withColumn("__tail", tail)
+    at = F.greatest(F.lit(1), F.ceil(F.size("__frame") * share).cast("int"))
+    slow = (F.lit(budget) > 0) & (F.size("__tail") == streak) & F.forall("__tail", lambda x: x >= budget)
+    return rows.select(*values.columns, F.size("__frame").alias("n"), F.element_at("__frame", at).alias("p99"), slow.alias("demote"))
+
+
 def valuations(quotes: DataFrame, catalog: DataFrame, target: str) -> DataFrame:
     """Adds `official`, whether a quote's rates are those of the catalog, and its `valuation` in the target currency.
 

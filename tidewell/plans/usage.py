@@ -133,6 +133,12 @@ def a27_startup_p99(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("plugin", "p99", "n", (F.col("least_recent") >= 100).alias("demote"))
 
 
+def w17_rolling_startup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every startup with the 99th percentile of its plugin's last twenty as of then."""
+    rows = events(spark, folder).select((F.col("user_id") % 50).alias("plugin"), F.col("event_id").alias("seq"), F.round(F.col("value") * 10).cast("long").alias("ms"))
+    return usage.rolling_ranks(rows, "plugin", "ms", budget=400).select("plugin", "seq", "n", "p99", "demote")
+
+
 def r17_gc_plan(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.gc_plan(lifecycle.library(spark, folder), now=200 * 86400, retention_days=180, min_weight=0.02, most=300).select("id", "type", F.round("weight", 9).alias("weight"), "reason")
 
@@ -157,7 +163,7 @@ def s04_journal_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (a02_usage_summary, a03_by_provider, a04_provider_savings, r23_l1_check, a07_rollup, a06_range_stats, a06_grouping_sets, j18_day_spine, a22_ledger, a23_quotes, t11_quota, a27_startup_p99, r17_gc_plan, a19_evicted_by_type, a16_stats_merge, s04_journal_replay)
+    for f in (a02_usage_summary, a03_by_provider, a04_provider_savings, r23_l1_check, a07_rollup, a06_range_stats, a06_grouping_sets, j18_day_spine, a22_ledger, a23_quotes, t11_quota, a27_startup_p99, w17_rolling_startup, r17_gc_plan, a19_evicted_by_type, a16_stats_merge, s04_journal_replay)
 }
 
 _BP = """b AS (SELECT provider, count(*) AS events, count(*) FILTER (exact) AS exact_events, count(*) FILTER (l3_reuse) AS l3_reuses, (sum(CASE WHEN exact THEN tokens_in ELSE 0 END))::BIGINT AS tokens_in, (sum(CASE WHEN exact THEN tokens_out ELSE 0 END))::BIGINT AS tokens_out,
@@ -197,6 +203,9 @@ SELECT key, count(DISTINCT currency) AS currencies, count(*) AS entries, CASE WH
 SELECT model, round(sum(round(cost, 9)), 6) AS cost, bool_and(cost IS NOT NULL) AS complete, count(*) AS rows, count(cost) AS priced, CASE WHEN bool_and(cost IS NOT NULL) THEN 'complete' WHEN count(cost) > 0 THEN 'partial' ELSE 'unknown' END AS status FROM r GROUP BY model""",
     "t11_quota": f"""WITH {_U}, q AS (SELECT session_id, coalesce(sum(CASE WHEN l3_reuse THEN 0 ELSE tokens_in + tokens_out END) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM u)
 SELECT session_id, CASE WHEN used < 20000 THEN 'free' WHEN used < 60000 THEN 'paid' ELSE 'blocked' END AS mode, count(*) AS n, max(used) AS used FROM q GROUP BY ALL""",
+    "w17_rolling_startup": """WITH r AS (SELECT user_id % 50 AS plugin, event_id AS seq, round(value * 10)::BIGINT AS ms FROM events),
+f AS (SELECT plugin, seq, list_sort(list(ms) OVER (PARTITION BY plugin ORDER BY seq ROWS 19 PRECEDING)) AS v, min(ms) OVER w AS m, count(*) OVER w AS k FROM r WINDOW w AS (PARTITION BY plugin ORDER BY seq ROWS 2 PRECEDING))
+SELECT plugin, seq, len(v)::INT AS n, v[ceil(len(v) * 99e-2)::INT] AS p99, k = 3 AND m >= 400 AS demote FROM f""",
     "a27_startup_p99": """WITH r AS (SELECT user_id AS plugin, round(value * 10)::BIGINT AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS spot FROM events), l AS (SELECT plugin, list(ms ORDER BY ms) AS v, min(ms) FILTER (spot <= 3) AS m FROM r WHERE spot <= 20 GROUP BY plugin)
 SELECT plugin, v[greatest(1, ceil(len(v) * 99e-2)::INT)] AS p99, len(v)::INT AS n, m >= 100 AS demote FROM l""",
     "r17_gc_plan": f"WITH {_GC} SELECT id, type, round(weight, 9) AS weight, reason FROM g",
