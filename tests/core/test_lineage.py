@@ -10,12 +10,6 @@ ROWS = "id long, parent long, recovered boolean, preferred boolean, topic string
 MESSAGES = "session long, at long, role string, content string"
 
 
-@pytest.fixture(autouse=True)
-def folder(spark, tmp_path):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(str(tmp_path))
-
-
 def origin(rows, i):
     """(origin, in_cycle, found)"""
     path, at = [], i

@@ -19,7 +19,7 @@ def fold_in_order(df: DataFrame, key: str, order: str, start: Callable[[], dict]
     key like others.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         current, state = object(), start()
         for batch in batches:
             out = []
@@ -27,13 +27,42 @@ def fold_in_order(df: DataFrame, key: str, order: str, start: Callable[[], dict]
                 if row[key] != current:
                     current, state = row[key], start()
                 out.append((row[key], row[order], *step(state, row)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names=names)
+            yield out
 
-    ship(df.sparkSession)
+    return _folded(df, key, order, rows, schema)
+
+
+def fold_to_last(df: DataFrame, key: str, order: str, start: Callable[[], tuple], step: Callable[[tuple, dict], tuple], schema: str) -> DataFrame:
+    """One row per key: the state, a tuple, after all its rows in the order of `order`. `schema` names the key and the state."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        begun, current, state = False, None, start()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if not begun or row[key] != current:
+                    if begun:
+                        out.append((current, *state))
+                    begun, current, state = True, row[key], start()
+                state = step(state, row)
+            yield out
+        if begun:
+            yield [(current, *state)]
+
+    return _folded(df, key, order, rows, schema)
+
+
+def _folded(df: DataFrame, key: str, order: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]], schema: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    ship(df.sparkSession)
+    # The schema as Spark reads it, without a job.
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
     names, types = arrow.names, arrow.types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in rows(batches):
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names=names)
+
     return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)

@@ -1,46 +1,51 @@
-"""Learners over ordered feedback, in batch: folds over each key's sorted rows, and closed forms where there are any."""
+"""Learners over ordered feedback, in batch: streamed folds over each key's sorted rows, and closed forms where there are any."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold_to_last
+
 #: Constants of the threshold engine. Fixed values.
 ALPHA, POLLUTION_RISE, POLLUTION_LOW, HIT_TARGET, STEP, MIN_TAU, MAX_TAU, FREEZE, MIN_SAMPLES, FIRST = 0.1, 0.30, 0.10, 0.70, 0.05, 0.30, 0.80, 60, 20, 60
 
 
+def fold(state: tuple, rows: list[tuple]) -> tuple:
+    """One key's state after more signals (epoch, name, value), in order."""
+    n, epoch, hit, pol, tau, frozen, changes = state
+    for e, name, value in rows:
+        if value is None or value != value or value in (float("inf"), float("-inf")) or e < epoch:
+            continue
+        n, epoch, v = n + 1, e, min(max(value, 0.0), 1.0)
+        if name == "hit":
+            hit = ALPHA * v + (1 - ALPHA) * hit
+        elif name == "pollution":
+            pol = ALPHA * v + (1 - ALPHA) * pol
+        else:
+            continue
+        if n < MIN_SAMPLES or e < FIRST or e < frozen:
+            continue
+        new = tau + STEP if pol >= POLLUTION_RISE else tau - STEP if hit >= HIT_TARGET and pol <= POLLUTION_LOW else tau
+        new = min(max(new, MIN_TAU), MAX_TAU)
+        if new != tau:
+            tau, frozen, changes = new, e + FREEZE, changes + 1
+    return n, epoch, hit, pol, tau, frozen, changes
+
+
 def evolve(signals: DataFrame, tau: float = 0.55) -> DataFrame:
     """Per key: the threshold after its signals, in order. `signals`: key, seq, epoch, name (hit or pollution), value.
 
     Moving averages of hits and pollution raise the threshold when pollution is high and lower it when hits are high and
     pollution low; after each change it is frozen for FREEZE epochs, and nothing moves before MIN_SAMPLES signals and epoch
-    FIRST. Values are clamped to 0..1, signals that are no numbers or of an earlier epoch are skipped. A key's rows are
-    folded in one task; keys are independent.
+    FIRST. Values are clamped to 0..1, signals that are no numbers or of an earlier epoch are skipped. A key's rows are read by
+    one task as a sorted stream; keys are independent.
     """
-    lists = signals.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "epoch", "name", "value"))).alias("s"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("epoch"), F.lit(0.0).alias("hit"), F.lit(0.0).alias("pol"), F.lit(tau).alias("tau"), F.lit(0).cast("long").alias("frozen"), F.lit(0).cast("long").alias("changes")
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        bad = x["value"].isNull() | F.isnan(x["value"]) | (F.abs(x["value"]) == float("inf")) | (x["epoch"] < a["epoch"])
-        v = F.least(F.greatest(x["value"], F.lit(0.0)), F.lit(1.0))
-        hit = F.when(x["name"] == "hit", ALPHA * v + (1 - ALPHA) * a["hit"]).otherwise(a["hit"])
-        pol = F.when(x["name"] == "pollution", ALPHA * v + (1 - ALPHA) * a["pol"]).otherwise(a["pol"])
-        known = x["name"].isin("hit", "pollution")
-        ready = known & (a["n"] + 1 >= MIN_SAMPLES) & (x["epoch"] >= FIRST) & (x["epoch"] >= a["frozen"])
-        moved = F.when(pol >= POLLUTION_RISE, a["tau"] + STEP).when((hit >= HIT_TARGET) & (pol <= POLLUTION_LOW), a["tau"] - STEP).otherwise(a["tau"])
-        moved = F.least(F.greatest(moved, F.lit(MIN_TAU)), F.lit(MAX_TAU))
-        new = F.when(ready, moved).otherwise(a["tau"])
-        changed = new != a["tau"]
-        return F.when(bad, a).otherwise(
-            F.struct(
-                (a["n"] + 1).alias("n"), x["epoch"].alias("epoch"), hit.alias("hit"), pol.alias("pol"), new.alias("tau"), F.when(changed, x["epoch"] + FREEZE).otherwise(a["frozen"]).alias("frozen"), (a["changes"] + changed.cast("long")).alias("changes")
-            )
-        )
-
-    folded = lists.select("key", F.aggregate("s", start, step).alias("a"))
-    return folded.select("key", F.col("a.n").alias("samples"), F.round("a.hit", 6).alias("hit_ewma"), F.round("a.pol", 6).alias("pollution_ewma"), F.round("a.tau", 6).alias("tau"), F.col("a.changes").alias("adjustments"))
+    kind = dict(signals.dtypes)["key"]
+    rows = signals.select("key", F.struct("seq", "epoch", "name", "value").alias("at"))
+    step = lambda state, row: fold(state, [(row["at"]["epoch"], row["at"]["name"], row["at"]["value"])])
+    folded = fold_to_last(rows, "key", "at", lambda: (0, 0, 0.0, 0.0, tau, 0, 0), step, f"key {kind}, n long, epoch long, hit double, pol double, tau double, frozen long, changes long")
+    return folded.select("key", F.col("n").alias("samples"), F.round("hit", 6).alias("hit_ewma"), F.round("pol", 6).alias("pollution_ewma"), F.round("tau", 6).alias("tau"), F.col("changes").alias("adjustments"))
 
 
 def adapt(feedback: DataFrame, tau: float = 0.55, alpha: float = 0.1, bound: float = 0.2, samples: int = 20, step_by: float = 0.05, freeze: int = 60, low: float = 0.3, high: float = 0.9) -> DataFrame:
@@ -48,23 +53,23 @@ def adapt(feedback: DataFrame, tau: float = 0.55, alpha: float = 0.1, bound: flo
 
     While frozen, observations count but do not adjust; a freeze runs down by observations.
     """
-    lists = feedback.groupBy("slice_id").agg(F.array_sort(F.collect_list(F.struct("seq", "negative"))).alias("s"))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(0.0).alias("ewma"), F.lit(0.0).alias("tau"), F.lit(False).alias("relaxed"), F.lit(0).alias("frozen"))
+    kind = dict(feedback.dtypes)["slice_id"]
 
-    def step(a: Column, x: Column) -> Column:
-        pos, neg = a["pos"] + (~x["negative"]).cast("int"), a["neg"] + x["negative"].cast("int")
-        ewma = F.when(x["negative"], alpha + (1 - alpha) * a["ewma"]).otherwise((1 - alpha) * a["ewma"])
-        base = F.when(a["tau"] > 0, a["tau"]).otherwise(tau)
+    def step(state: tuple, row: dict) -> tuple:
+        pos, neg, ewma, own, relaxed, frozen = state
+        negative = row["at"]["negative"]
+        pos, neg, ewma = pos + (not negative), neg + negative, alpha * negative + (1 - alpha) * ewma
+        base = own if own > 0 else tau
         up = ewma > bound
-        down = (ewma < bound / 2) & (pos >= samples)
-        moved = F.least(F.greatest(F.when(up, base + step_by).when(down, base - step_by).otherwise(base), F.lit(low)), F.lit(high))
-        change = (a["frozen"] == 0) & (pos + neg >= samples) & (moved != base)
-        return F.struct(
-            pos.alias("pos"), neg.alias("neg"), ewma.alias("ewma"), F.when(change, moved).otherwise(a["tau"]).alias("tau"), F.when(change, ~up).otherwise(a["relaxed"]).alias("relaxed"), F.when(change, freeze).otherwise(F.greatest(a["frozen"] - 1, F.lit(0))).alias("frozen")
-        )
-
-    folded = lists.select("slice_id", F.aggregate("s", start, step).alias("a"))
-    return folded.select("slice_id", "a.pos", "a.neg", F.round("a.ewma", 6).alias("neg_ewma"), F.round("a.tau", 6).alias("tau_low"), "a.relaxed")
+        moved = base + step_by if up else base - step_by if ewma < bound / 2 and pos >= samples else base
+        moved = min(max(moved, low), high)
+        if frozen == 0 and pos + neg >= samples and moved != base:
+            return pos, neg, ewma, moved, not up, freeze
+        return pos, neg, ewma, own, relaxed, max(frozen - 1, 0)
+
+    rows = feedback.select("slice_id", F.struct("seq", "negative").alias("at")).filter("negative is not null")
+    folded = fold_to_last(rows, "slice_id", "at", lambda: (0, 0, 0.0, 0.0, False, 0), step, f"slice_id {kind}, pos int, neg int, ewma double, tau double, relaxed boolean, frozen int")
+    return folded.select("slice_id", "pos", "neg", F.round("ewma", 6).alias("neg_ewma"), F.round("tau", 6).alias("tau_low"), "relaxed")
 
 
 def beta_posterior(outcomes: DataFrame, decay: float = 0.2, limit: float = 3.0) -> DataFrame:

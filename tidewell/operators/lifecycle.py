@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
+from ..functions.cuts import with_position
 from ..sources.tables import read
 
 
@@ -33,7 +34,7 @@ def gc_plan(slices: DataFrame, now: int, retention_days: int, min_weight: float,
     """The slices to remove, with the reason: expired, low_score or over_cap.
 
     Unknown ages (0) never expire; the cap spares none. Its order: not under grace first, by type, weight, age (unknown
-    first), id. The cap's rank is global by nature; only keys and weights take part in that sort.
+    first), id. The cap's rank is global: rows are dealt by ranges of that order.
     """
     scored = rescore(slices, now)
     expired = (F.col("created") > 0) & (F.col("created") < now - retention_days * 86400)
@@ -46,7 +47,7 @@ def gc_plan(slices: DataFrame, now: int, retention_days: int, min_weight: float,
     if over <= 0:
         return gone
     order = (grace, numeric.evict_priority(F.col("type")), F.round("weight", 12), "created", "id")
-    return gone.union(live.orderBy(*order).limit(over).select("id", "type", "weight", F.lit("over_cap").alias("reason")))
+    return gone.union(with_position(live, *order).filter(F.col("at") <= over).select("id", "type", "weight", F.lit("over_cap").alias("reason")))
 
 
 def collect_garbage(slices: DataFrame, plan: DataFrame, archive: str) -> DataFrame:

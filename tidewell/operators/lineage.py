@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cuts import cut
+
 _CONTENT = ("len", "body", "h", "g")
 
 
@@ -48,7 +50,7 @@ def origins(rows: DataFrame) -> DataFrame:
     done = rows.filter(stop(F.col("recovered"), F.col("parent"))).select("id", F.col("id").alias("origin"), F.lit(False).alias("in_cycle"), (~F.col("recovered")).alias("found"))
 
     # First step: parents that are missing or ends themselves.
-    first = open_.join(known, "up", "left").checkpoint()
+    first = cut(open_.join(known, "up", "left"))
     ended = F.col("there").isNull() | stop(F.col("goes"), F.col("next"))
     done = done.unionByName(first.filter(ended).select("id", F.col("up").alias("origin"), F.lit(False).alias("in_cycle"), (F.col("there").isNotNull() & ~F.coalesce("goes", F.lit(False))).alias("found")))
     # `up` of an open session is another open or just ended session: follow what that one points to.
@@ -58,15 +60,15 @@ def origins(rows: DataFrame) -> DataFrame:
     while pending and pending != before:
         jump = left.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("least").alias("lower"))
         hop = left.join(ends.select(F.col("id").alias("up"), "origin", "found"), "up", "left").join(jump, "up", "left")
-        hop = hop.select("id", F.coalesce("further", "up").alias("up"), F.least("least", F.coalesce("lower", "least")).alias("least"), "origin", "found").checkpoint()
+        hop = cut(hop.select("id", F.coalesce("further", "up").alias("up"), F.least("least", F.coalesce("lower", "least")).alias("least"), "origin", "found"))
         arrived = hop.filter("origin is not null").select("id", "origin", F.lit(False).alias("in_cycle"), "found")
-        ends = ends.unionByName(arrived).checkpoint()
+        ends = cut(ends.unionByName(arrived))
         left = hop.filter("origin is null").select("id", "up", "least")
         before, pending = pending, left.count()
     # Only circles: go on until every pointer lies in its circle and has seen all of it.
     for _ in range(pending.bit_length() if pending else 0):
         jump = left.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("least").alias("lower"))
-        left = left.join(jump, "up").select("id", F.col("further").alias("up"), F.least("least", "lower").alias("least")).checkpoint()
+        left = cut(left.join(jump, "up").select("id", F.col("further").alias("up"), F.least("least", "lower").alias("least")))
     if not pending:
         return ends
     circle = left.select(F.col("up").alias("id")).distinct().join(left.select("id", F.col("least").alias("origin")), "id")
@@ -92,7 +94,7 @@ def classify(rows: DataFrame, messages: DataFrame) -> DataFrame:
     holds = content.select(F.col("session").alias("parent"), F.lit(True).alias("parent_there"))
     base = base.join(holds, "parent", "left").join(at, ["parent", "body", "h", "g"], "left")
     empty = F.col("body").eqNullSafe(0) & F.coalesce("parent_there", F.lit(False))
-    base = base.withColumn("early", F.col("recovered") & (F.coalesce("same", F.lit(False)) | empty)).drop("same", "parent_there").checkpoint()
+    base = cut(base.withColumn("early", F.col("recovered") & (F.coalesce("same", F.lit(False)) | empty)).drop("same", "parent_there"))
 
     members = base.filter(F.col("recovered") & ~F.col("early"))
     groups = members.groupBy("origin").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
+from ..functions.cuts import with_position
 
 
 def turns(lines: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def false_hits(requests: DataFrame, least: float = 0.6) -> DataFrame:
 
 def hold_out(rows: DataFrame, order: list[str], share: float) -> DataFrame:
     """Adds `train`: the first int(n * share) rows, at least one and not all."""
-    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    placed = with_position(rows, *order)
     cut = F.least(F.greatest(F.floor(F.col("n") * share), F.lit(1)), F.col("n") - 1)
     return placed.withColumn("train", F.col("at") <= cut).drop("at", "n")
 

@@ -10,33 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.packaging import ship
-from ..operators import learning as L
+from ..operators.learning import fold
 
 _STATE = "n long, epoch long, hit double, pol double, tau double, frozen long, changes long"
 
 
-def fold(state: tuple, rows: list[tuple], first_tau: float = 0.55) -> tuple:
-    """One key's state after more signals (epoch, name, value), in order; see learning.evolve."""
-    n, epoch, hit, pol, tau, frozen, changes = state
-    for e, name, value in rows:
-        if value is None or value != value or value in (float("inf"), float("-inf")) or e < epoch:
-            continue
-        n, epoch, v = n + 1, e, min(max(value, 0.0), 1.0)
-        if name == "hit":
-            hit = L.ALPHA * v + (1 - L.ALPHA) * hit
-        elif name == "pollution":
-            pol = L.ALPHA * v + (1 - L.ALPHA) * pol
-        else:
-            continue
-        if n < L.MIN_SAMPLES or e < L.FIRST or e < frozen:
-            continue
-        new = tau + L.STEP if pol >= L.POLLUTION_RISE else tau - L.STEP if hit >= L.HIT_TARGET and pol <= L.POLLUTION_LOW else tau
-        new = min(max(new, L.MIN_TAU), L.MAX_TAU)
-        if new != tau:
-            tau, frozen, changes = new, e + L.FREEZE, changes + 1
-    return n, epoch, hit, pol, tau, frozen, changes
-
-
 def evolve_stream(signals: DataFrame, tau: float = 0.55) -> DataFrame:
     """The threshold engine over a stream of (key, seq, epoch, name, value): a row per key and micro-batch, with its state.
 
