@@ -44,7 +44,7 @@ def r01_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r02_hash_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.top_k(retrieval.hashed_search(questions(spark, folder), slices(spark, folder)), 3).select("query_id", "scope", "rank", "id", "score")
+    return retrieval.top_k(retrieval.hashed_top_k(questions(spark, folder), slices(spark, folder), 3), 3).select("query_id", "scope", "rank", "id", "score")
 
 
 def r02b_embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def r02b_embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _routes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     q, s = questions(spark, folder), slices(spark, folder)
-    return retrieval.top_k(retrieval.bm25(q, s), 10), retrieval.top_k(retrieval.hashed_search(q, s), 10)
+    return retrieval.top_k(retrieval.bm25(q, s), 10), retrieval.top_k(retrieval.hashed_top_k(q, s, 10), 10)
 
 
 def r03_fuse_weighted(spark: SparkSession, folder: str) -> DataFrame:
