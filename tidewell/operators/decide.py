@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 
 
-def reuse(candidates: DataFrame, now: int, ttl: int, zones: numeric.Zones = numeric.Zones()) -> DataFrame:
+#: A clear hit with a smaller share of lexical support is a grey one. Fixed value.
+LEXICAL_FLOOR = 0.05
+
+
+def reuse(candidates: DataFrame, now: int, ttl: int, zones: numeric.Zones = numeric.Zones(), lexical_floor: float = LEXICAL_FLOOR) -> DataFrame:
     """The first result, in order of score and id, that passes all gates; per query and scope with counts of why not.
 
     `candidates`: query_id, scope, id, type, score, created, same_context, fresh_files, quality (a judge's verdict for grey
-    ones: 1 approves). Gates: the worse of the two-axis and the freshness zone, context isolation, file fingerprints, judge.
+    ones: 1 approves) and optionally lexical. Gates: the worse of the two-axis and the freshness zone, context isolation, file
+    fingerprints, judge. With `lexical`, the share of the best lexical score (null: not measured, never held against it), a hit
+    under `lexical_floor` goes to the judge like a grey one; these are counted as n_unsupported.
     """
     window = Window.partitionBy("query_id", "scope")
     tops = candidates.withColumn("global_top", F.max("score").over(window)).withColumn("result_top", F.max(F.when(F.col("type") == "result", F.col("score"))).over(window))
@@ -20,7 +26,9 @@ def reuse(candidates: DataFrame, now: int, ttl: int, zones: numeric.Zones = nume
     lexical = numeric.reuse_zone(F.col("score"), F.col("result_top"), F.col("global_top"), zones)
     age = numeric.freshness_zone(F.col("created"), F.lit(now), F.lit(ttl))
     worse = F.when((lexical == "miss") | (age == "miss"), "miss").when((lexical == "grey") | (age == "grey"), "grey").otherwise("hit")
-    rows = rows.withColumn("z", worse)
+    measured = "lexical" in candidates.columns
+    blocked = (worse == "hit") & F.coalesce(F.col("lexical") < lexical_floor, F.lit(False)) if measured else F.lit(False)
+    rows = rows.withColumn("z", F.when(blocked, "grey").otherwise(worse)).withColumn("blocked", blocked)
     gate = F.when(F.col("z") == "miss", "zone").when(~F.col("same_context"), "isolated").when(~F.col("fresh_files"), "files").when((F.col("z") == "grey") & (F.coalesce("quality", F.lit(0)) != 1), "judge").otherwise("pass")
     rows = rows.withColumn("gate", gate)
     first = F.min(F.when(F.col("gate") == "pass", F.struct((-F.col("score")).alias("o"), F.col("id"))))
@@ -32,6 +40,7 @@ def reuse(candidates: DataFrame, now: int, ttl: int, zones: numeric.Zones = nume
         count("isolated").alias("n_isolated"),
         count("files").alias("n_files"),
         count("judge").alias("n_judge_reject"),
+        *([F.count_if("blocked").alias("n_unsupported")] if measured else []),
     )
 
 

@@ -160,3 +160,20 @@ def valuations(quotes: DataFrame, catalog: DataFrame, target: str) -> DataFrame:
     worth = numeric.token_cost(F.col("hit"), F.col("miss"), F.col("output"), peer["rate_hit"], peer["rate_in"], peer["rate_out"])
     valued = F.when((F.col("currency") != target) & F.col("official_mode").isNotNull(), worth)
     return found.withColumn("official", F.col("official_mode").isNotNull()).withColumn("valuation", valued).drop("peers", "official_mode")
+
+
+#: The figures of a usage report, in order. Fixed values.
+REPORTED = ("events", *MEASURES[:3], "l3_reuses", *MEASURES[3:], "cost_paid", "cost_no_cache", "savings", "savings_rate", "judge_approved", "judge_declined", "judge_fail_closed", "judge_skipped", "l3_false_hits")
+
+
+def report(usage: DataFrame, prices: DataFrame, miss: float, hit: float) -> DataFrame:
+    """The usage report as rows (section, position, name, value, detail): the totals of REPORTED, and per provider its savings with
+    its hit rate (n/a where nothing was metered exactly), exact and all events, and reuses. The unnamed provider comes last."""
+    totals = summarize(usage, miss, hit)
+    names = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for i, n in enumerate(REPORTED)])
+    first = totals.select(F.inline(names)).select(F.lit("totals").alias("section"), "position", "name", F.round("value", 9).alias("value"), F.lit("").alias("detail"))
+    rate = F.when(F.col("exact_events") > 0, F.format_string("%.1f%%", F.col("l1_hit_rate"))).otherwise("n/a")
+    detail = F.format_string("hit %s exact %d/%d reuses %d", rate, "exact_events", "events", "l3_reuses")
+    rows = provider_savings(usage, prices, miss, hit).join(by_provider(usage).drop("cache_hit_tokens"), "provider")
+    second = rows.select(F.lit("providers").alias("section"), "position", F.when(F.col("provider") == "", "(unattributed)").otherwise(F.col("provider")).alias("name"), F.col("saved").alias("value"), detail.alias("detail"))
+    return first.unionByName(second)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import calibration, decisions, evolution, extraction, history, library, lineage, prefetch, retrieval, sessions, traces, usage
+from . import calibration, decisions, evolution, extraction, forms, history, library, lineage, prefetch, retrieval, sessions, traces, usage
 
-_PLANS = (retrieval, usage, sessions, extraction, decisions, library, prefetch, lineage, history, evolution, traces, calibration)
+_PLANS = (retrieval, usage, sessions, extraction, decisions, library, prefetch, lineage, history, evolution, traces, calibration, forms)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}

@@ -97,6 +97,30 @@ def r09_l3_decide(spark: SparkSession, folder: str) -> DataFrame:
     return decide.reuse(rows, now=97 * 86400, ttl=60 * 86400).select("query_id", "scope", "outcome", "id", "n_grey", "n_isolated", "n_files", "n_judge_reject")
 
 
+def p05_lexical_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Reuse decisions over the fused routes: candidates that the lexical route did not find, or hardly, need the judge."""
+    lexical, vector = _routes(spark, folder)
+    fused = retrieval.top_k(retrieval.fuse_weighted(lexical, vector, 0.2), 10)
+    rows = _typed(fused, spark, folder).select(
+        "query_id", "scope", "id", "type", "score", F.when(F.col("id") % 11 > 0, F.col("lexical")).alias("lexical"), (F.col("id") % 97 * 86400).alias("created"), F.lit(True).alias("same_context"), (F.col("n_chars") % 5 != 0).alias("fresh_files"), "quality"
+    )
+    return decide.reuse(rows, now=97 * 86400, ttl=97 * 86400, lexical_floor=0.3).select("query_id", "scope", "outcome", "id", "n_grey", "n_files", "n_judge_reject", "n_unsupported")
+
+
+def r07_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """What looking up all benchmark items adds to the statistics of the slices that were clear hits."""
+    ranked = retrieval.with_zone(retrieval.top_k(retrieval.bm25(questions(spark, folder), slices(spark, folder)), 5))
+    return retrieval.hit_statistics(ranked, 1_700_000_000)
+
+
+def j04_vector_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """The slices behind the best of the vector route, those of one source gone."""
+    ranked = retrieval.top_k(retrieval.hashed_top_k(questions(spark, folder), slices(spark, folder), 3), 3)
+    docs = read(spark, folder, "documents").filter("doc_id % 7 <> 3")
+    stored = docs.select(F.col("lang").alias("scope"), F.col("doc_id").alias("id"), "source", F.sha2("text", 256).alias("version"))
+    return retrieval.with_slices(ranked, stored).select("query_id", "scope", "rank", "id", "source", "version")
+
+
 def r10_inject_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Which of the best five slices fit a block of 4096 bytes, later ones may still fit; sizes in bytes."""
     ranked = retrieval.top_k(retrieval.bm25(questions(spark, folder), slices(spark, folder)), 5)
@@ -138,7 +162,7 @@ def f08_query_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query_id", "scope", "id", F.round(text.query_coverage("query", "content"), 6).alias("coverage"))
 
 
-QUERIES = {f.__name__: f for f in (r01_bm25_topk, r02_hash_vector_topk, r02b_embedding_topk, r03_fuse_weighted, r04_fuse_rrf, r06_bm25_zone, r08_l2_decide, r09_l3_decide, r10_inject_plan, r24_memory_search, r26_bm25f, j16_self_search, w02_route_tops, f08_query_coverage)}
+QUERIES = {f.__name__: f for f in (r01_bm25_topk, r02_hash_vector_topk, r02b_embedding_topk, r03_fuse_weighted, r04_fuse_rrf, r06_bm25_zone, r08_l2_decide, r09_l3_decide, p05_lexical_gate, r07_lookup, j04_vector_slices, r10_inject_plan, r24_memory_search, r26_bm25f, j16_self_search, w02_route_tops, f08_query_coverage)}
 
 _TYPED = """ty AS (SELECT rk.*, n_chars, CASE WHEN rk.id % 3 = 0 THEN 'result' ELSE 'prompt' END AS type, quality FROM rk JOIN documents ON doc_id = rk.id LEFT JOIN labels l ON l.doc_id = rk.id WHERE rank <= 20),
 tt AS (SELECT *, max(score) OVER w AS global_top, max(CASE WHEN type = 'result' THEN score END) OVER w AS result_top FROM ty WINDOW w AS (PARTITION BY query_id, scope)),
@@ -170,6 +194,28 @@ h AS (SELECT *, CASE WHEN zone = 'miss' OR fz = 'miss' THEN 'miss' WHEN zone = '
 o AS (SELECT *, CASE WHEN z2 = 'miss' THEN 'zone' WHEN n_chars % 7 = 0 THEN 'isolated' WHEN n_chars % 5 = 0 THEN 'files' WHEN z2 = 'grey' AND coalesce(quality, 0) <> 1 THEN 'judge' ELSE 'pass' END AS gate FROM h)
 SELECT query_id, scope, CASE WHEN bool_or(gate = 'pass') THEN 'reuse' ELSE 'forward' END AS outcome, arg_min(CASE WHEN gate = 'pass' THEN id END, CASE WHEN gate = 'pass' THEN rank END) AS id,
  count(*) FILTER (z2 = 'grey') AS n_grey, count(*) FILTER (gate = 'isolated') AS n_isolated, count(*) FILTER (gate = 'files') AS n_files, count(*) FILTER (gate = 'judge') AS n_judge_reject FROM o GROUP BY ALL""",
+    "p05_lexical_gate": f"""WITH {_BM25}, {_HASHED},
+a AS (SELECT query_id, scope, id, score / top1 AS lexical FROM rk WHERE rank <= 10 AND top1 > 0),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, id) AS rank, max(score) OVER (PARTITION BY query_id, scope) AS top FROM hv),
+b AS (SELECT query_id, scope, id, score / top AS semantic FROM hr WHERE rank <= 10),
+f AS (SELECT query_id, scope, id, round(2e-1 * coalesce(lexical, 0) + (1 - 2e-1) * coalesce(semantic, 0), 6) AS score, round(coalesce(lexical, 0), 6) AS lexical FROM a FULL JOIN b USING (query_id, scope, id)),
+t0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, id) AS rank FROM f WHERE score > 0 QUALIFY rank <= 10),
+ty AS (SELECT t0.*, n_chars, CASE WHEN t0.id % 3 = 0 THEN 'result' ELSE 'prompt' END AS type, quality FROM t0 JOIN documents ON doc_id = t0.id LEFT JOIN labels l ON l.doc_id = t0.id),
+tt AS (SELECT *, max(score) OVER w AS global_top, max(CASE WHEN type = 'result' THEN score END) OVER w AS result_top FROM ty WINDOW w AS (PARTITION BY query_id, scope)),
+zz AS (SELECT *, CASE WHEN score / result_top >= 8e-1 AND score / global_top >= 45e-2 AND global_top >= 7e-1 THEN 'hit' WHEN score / result_top >= 55e-2 AND score / global_top >= 45e-2 AND global_top >= 45e-2 THEN 'grey' ELSE 'miss' END AS zone,
+    CASE WHEN id % 97 = 0 THEN 'miss' WHEN 97 - id % 97 > 485e-1 THEN 'grey' ELSE 'hit' END AS fz FROM tt WHERE type = 'result'),
+h AS (SELECT *, CASE WHEN zone = 'miss' OR fz = 'miss' THEN 'miss' WHEN zone = 'grey' OR fz = 'grey' THEN 'grey' ELSE 'hit' END AS z0, z0 = 'hit' AND id % 11 > 0 AND lexical < 3e-1 AS blocked, CASE WHEN blocked THEN 'grey' ELSE z0 END AS z FROM zz),
+o AS (SELECT *, CASE WHEN z = 'miss' THEN 'zone' WHEN n_chars % 5 = 0 THEN 'files' WHEN z = 'grey' AND coalesce(quality, 0) <> 1 THEN 'judge' ELSE 'pass' END AS gate FROM h)
+SELECT query_id, scope, CASE WHEN bool_or(gate = 'pass') THEN 'reuse' ELSE 'forward' END AS outcome, arg_min(CASE WHEN gate = 'pass' THEN id END, CASE WHEN gate = 'pass' THEN rank END) AS id, count(*) FILTER (z = 'grey') AS n_grey,
+ count(*) FILTER (gate = 'files') AS n_files, count(*) FILTER (gate = 'judge') AS n_judge_reject, count(*) FILTER (blocked) AS n_unsupported FROM o GROUP BY query_id, scope""",
+    "r07_lookup": f"WITH {_BM25}, z AS (SELECT *, {_ZONE} AS zone FROM rk WHERE rank <= 5) SELECT scope, id, count(*) AS hits, 1700000000::BIGINT AS last_used FROM z WHERE zone = 'hit' GROUP BY scope, id",
+    "j04_vector_slices": f"""WITH {_HASHED}, r AS (SELECT query_id, scope, id, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, id)::INT AS rank FROM hv QUALIFY rank <= 3)
+SELECT query_id, scope, rank, id, source, sha256(text) AS version FROM r JOIN documents ON doc_id = id AND lang = scope WHERE id % 7 <> 3""",
+    "r10_inject_plan": f"""WITH RECURSIVE {_BM25}, i AS (SELECT query_id, scope, rank, id, strlen(text) AS bytes, strlen(printf('--- slice %d (score=%.2f) ---', id, score)) + 1 AS head FROM rk JOIN documents ON doc_id = id WHERE rank <= 5),
+f AS (SELECT DISTINCT query_id, scope, 0::BIGINT AS rank, 8::BIGINT AS used, []::BIGINT[] AS ids, 0 AS dropped FROM i
+  UNION ALL SELECT query_id, scope, i.rank, CASE WHEN fits THEN used + head + bytes + 1 ELSE used END, CASE WHEN fits THEN list_append(ids, id) ELSE ids END, dropped + (NOT fits)::INT
+  FROM (SELECT f.query_id, f.scope, f.used, f.ids, f.dropped, i.rank, i.id, i.bytes, i.head, NOT (f.used + i.bytes + 8 + 64 > 4096 AND len(f.ids) > 0) AS fits FROM f JOIN i ON i.query_id = f.query_id AND i.scope = f.scope AND i.rank = f.rank + 1) i)
+SELECT query_id, scope, array_to_string(list_sort(ids), ',') AS ids, used, dropped FROM f QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY rank DESC) = 1""",
     "r24_memory_search": f"WITH {_BM25} SELECT query_id, scope, rank, id, score FROM rk WHERE score >= 15e-2 * top1 AND rank <= 8",
     "j16_self_search": f"""WITH d AS (SELECT lang AS scope, doc_id AS id, {_WORDS.format("text")} AS t FROM documents),
 qt AS (SELECT scope, id AS query_id, unnest(list_distinct(t)) AS term FROM d WHERE id % 100 = 0),

@@ -58,6 +58,11 @@ def a04_provider_savings(spark: SparkSession, folder: str) -> DataFrame:
     return usage.provider_savings(usage_records(spark, folder), prices, COST_MISS, COST_HIT)
 
 
+def r22_usage_report(spark: SparkSession, folder: str) -> DataFrame:
+    prices = spark.createDataFrame([("p1", 0.5, 0.1), ("p2", 0.3, 0.05)], "provider string, price_miss double, price_hit double")
+    return usage.report(usage_records(spark, folder), prices, COST_MISS, COST_HIT)
+
+
 def r23_l1_check(spark: SparkSession, folder: str) -> DataFrame:
     return usage.l1_check(usage_records(spark, folder))
 
@@ -163,7 +168,7 @@ def s04_journal_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (a02_usage_summary, a03_by_provider, a04_provider_savings, r23_l1_check, a07_rollup, a06_range_stats, a06_grouping_sets, j18_day_spine, a22_ledger, a23_quotes, t11_quota, a27_startup_p99, w17_rolling_startup, r17_gc_plan, a19_evicted_by_type, a16_stats_merge, s04_journal_replay)
+    for f in (a02_usage_summary, a03_by_provider, a04_provider_savings, r22_usage_report, r23_l1_check, a07_rollup, a06_range_stats, a06_grouping_sets, j18_day_spine, a22_ledger, a23_quotes, t11_quota, a27_startup_p99, w17_rolling_startup, r17_gc_plan, a19_evicted_by_type, a16_stats_merge, s04_journal_replay)
 }
 
 _BP = """b AS (SELECT provider, count(*) AS events, count(*) FILTER (exact) AS exact_events, count(*) FILTER (l3_reuse) AS l3_reuses, (sum(CASE WHEN exact THEN tokens_in ELSE 0 END))::BIGINT AS tokens_in, (sum(CASE WHEN exact THEN tokens_out ELSE 0 END))::BIGINT AS tokens_out,
@@ -215,3 +220,8 @@ SELECT plugin, v[greatest(1, ceil(len(v) * 99e-2)::INT)] AS p99, len(v)::INT AS
 p AS (SELECT l.id, spot, json_extract(props, '$.k')::BIGINT AS body FROM l JOIN events ON event_id = spot WHERE event_type = 'view')
 SELECT p.id, body, (SELECT count(*) FROM events e WHERE e.user_id = p.id AND e.event_id > p.spot AND event_type NOT IN ('view', 'error')) + 1 AS hits FROM p""",
 }
+
+_REPORTED = ", ".join(f"('{n}', {i + 1}, {n}::DOUBLE)" for i, n in enumerate(usage.REPORTED))
+SQL["r22_usage_report"] = f"""WITH m AS ({SQL["a02_usage_summary"]}), p AS ({SQL["a04_provider_savings"]}), b AS ({SQL["a03_by_provider"]})
+SELECT 'totals' AS section, v.position::INT AS position, v.name AS name, round(v.value, 9) AS value, '' AS detail FROM m, LATERAL (SELECT * FROM (VALUES {_REPORTED}) AS x(name, position, value)) v
+UNION ALL SELECT 'providers', position::INT, CASE WHEN provider = '' THEN '(unattributed)' ELSE provider END, saved, 'hit ' || CASE WHEN exact_events > 0 THEN printf('%.1f%%', l1_hit_rate) ELSE 'n/a' END || ' exact ' || exact_events || '/' || events || ' reuses ' || l3_reuses FROM p JOIN b USING (provider)"""
