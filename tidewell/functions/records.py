@@ -72,11 +72,52 @@ def tool_error_bucket(message: Column) -> Column:
     return F.when(v.rlike("permission|blocked|denied"), "permission").when(v.rlike("timeout|deadline"), "timeout").when(v.contains("cancel"), "cancelled").when(v.rlike("not found|no such"), "not_found").otherwise("other")
 
 
+#: Names of permission modes, by bucket. Fixed values.
+PERMISSIONS = {"ask": ("manual", "ask"), "auto": ("auto", "acceptedits"), "dont_ask": ("dontask",), "plan": ("plan",), "yolo": ("bypasspermissions", "yolo")}
+
+
+def permission_bucket(value: Column) -> Column:
+    v, out = F.lower(F.trim(F.coalesce(value, F.lit("")))), F.lit("other")
+    for bucket, names in PERMISSIONS.items():
+        out = F.when(v.isin(*names), bucket).otherwise(out)
+    return out
+
+
+def safe_bucket(value: Column, fallback: str, most: int = 96) -> Column:
+    """A name of a-z, 0-9 and single underscores for the rest, cut to `most`; the fallback for an empty one."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
+    return F.when(name == "", fallback).otherwise(F.substring(name, 1, most))
+
+
 def language_bucket(value: Column) -> Column:
     v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
     return F.when(v.startswith("zh"), "zh").when(v.startswith("en"), "en").when(v.isin("", "auto"), "auto").otherwise("other")
 
 
+#: Upper bounds of latencies in milliseconds, by bucket. Fixed values.
+LATENCIES = {"lt_1s": 1000, "s_1_5": 5000, "s_5_15": 15_000, "s_15_60": 60_000, "m_1_5": 300_000, "m_5_15": 900_000}
+
+
+def latency_bucket(ms: Column) -> Column:
+    out = F.lit("m_15_plus")
+    for bucket, bound in reversed(LATENCIES.items()):
+        out = F.when(ms < bound, bucket).otherwise(out)
+    return out
+
+
+def exit_bucket(cancelled: Column, paused: Column, error: Column) -> Column:
+    """How a turn ended; null flags are false, an error is its message."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(cancelled), "cancelled").when(yes(paused), "recovery_paused").when(error.isNotNull(), "error").otherwise("success")
+
+
+def provider_error_bucket(kind: Column, status: Column) -> Column:
+    """The bucket of a provider's error by its kind (auth, api, timeout, cancelled, network, interrupted) and, of an API's, its
+    status; empty for others and none."""
+    api = F.when(status == 429, "rate_limit").when(status >= 500, "server").when(status >= 400, "request").otherwise("http")
+    return F.when(kind == "api", api).when(kind.isin("auth", "timeout", "cancelled", "network", "interrupted"), kind).otherwise("")
+
+
 def finish_bucket(value: Column) -> Column:
     v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
     return F.when(v == "", "unknown").when(v.isin("stop", "tool_calls", "length", "content_filter", "repetition_truncation"), v).otherwise("other")

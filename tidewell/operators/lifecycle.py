@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..functions.cuts import with_position
+from ..sources import logs
 from ..sources.tables import read
 
 
@@ -69,9 +70,8 @@ def replay(journal: DataFrame) -> DataFrame:
 
 
 def base_slices(lines: DataFrame) -> tuple[DataFrame, int]:
-    """Slices of a JSONL base (column value), and how many lines were skipped as corrupt or without an id."""
-    schema = "ID string, Type int, Scope int, Content string, Weight double, created_at bigint"
-    parsed = lines.select(F.from_json("value", schema).alias("s"))
-    good = parsed.filter(F.coalesce(F.col("s.ID"), F.lit("")) != "").select("s.*")
-    skipped = lines.filter(F.trim("value") != "").count() - good.count()
+    """Slices of a JSONL base (column value), and how many lines were skipped as corrupt, too long or without an id."""
+    scanned = logs.scan(lines, "ID string, Type int, Scope int, Content string, Weight double, created_at bigint", "ID")
+    good = logs.records(scanned)
+    skipped = scanned.filter("status not in ('ok', 'blank')").count()
     return good.withColumn("content", F.decode(F.unbase64("Content"), "UTF-8")).withColumn("kind", F.element_at(F.array(*map(F.lit, text.TYPES)), F.col("Type") + 1)), skipped

@@ -177,3 +177,15 @@ def report(usage: DataFrame, prices: DataFrame, miss: float, hit: float) -> Data
     rows = provider_savings(usage, prices, miss, hit).join(by_provider(usage).drop("cache_hit_tokens"), "provider")
     second = rows.select(F.lit("providers").alias("section"), "position", F.when(F.col("provider") == "", "(unattributed)").otherwise(F.col("provider")).alias("name"), F.col("saved").alias("value"), detail.alias("detail"))
     return first.unionByName(second)
+
+
+#: A counter goes no higher. Fixed value.
+MOST_COUNTED = 1_000_000
+
+
+def counters(signals: DataFrame) -> DataFrame:
+    """(signal, bucket, count) of telemetry: sums of positive counts, up to MOST_COUNTED; what has no signal or bucket is left out.
+    `signals`: signal, bucket, count."""
+    named = (F.coalesce("signal", F.lit("")) != "") & (F.coalesce("bucket", F.lit("")) != "") & (F.col("count") > 0)
+    sums = signals.filter(named).groupBy("signal", "bucket").agg(F.sum("count").alias("count"))
+    return sums.withColumn("count", F.least("count", F.lit(MOST_COUNTED).cast("long")))

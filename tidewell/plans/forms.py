@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records, text
+from ..operators import usage
+from ..sources import logs
 from ..sources.tables import events, read
 
 
@@ -71,11 +73,32 @@ def n14_record_forms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _list(values: tuple) -> str:
-    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+MODES = ("Manual", "acceptEdits", "dontask", "plan ", "YOLO", "", "root")
 
 
-QUERIES = {f.__name__: f for f in (f10_message_forms, n14_record_forms)}
+def a25_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event counts for its tool by safe name, its permission mode, its value, and a signal without a name."""
+    e = events(spark, folder)
+    key = F.col("event_id")
+    pair = lambda signal, bucket, n: F.struct(F.lit(signal).alias("signal"), bucket.alias("bucket"), n.cast("long").alias("count"))
+    tool = records.safe_bucket(F.concat(F.lit(" Tool/"), "event_type", F.lit("--"), (key % 3).cast("string"), F.lit("! ")), "unknown")
+    ended = records.exit_bucket(key % 11 == 0, F.when(key % 13 > 0, key % 7 == 0), F.when(F.col("event_type") == "error", F.lit("boom")))
+    failed = records.provider_error_bucket(F.when(key % 3 > 0, _one_of(key, ("api", "auth", "network", "odd"))), F.when(key % 17 > 0, key % 600))
+    extra = [pair("exit", ended, F.lit(1)), pair("latency", records.latency_bucket(F.pow(F.col("value"), 2.2)), F.lit(1)), pair("provider_error", failed, F.lit(2))]
+    pairs = F.array(*extra, pair("tool", tool, F.lit(1)), pair("mode", records.permission_bucket(_one_of(key, MODES)), F.lit(1)), pair("value", records.safe_bucket(_one_of(key, ("?!", "A b", None)), "none"), F.floor("value") * 100 - 500), pair("", F.lit("x"), F.lit(1)))
+    return usage.counters(e.select(F.inline(pairs)))
+
+
+def s06_usage_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a usage log with damaged, blank and nameless lines: what each line is, and the tokens of good ones."""
+    key = F.col("event_id")
+    line = F.to_json(F.struct(F.when(key % 23 > 0, F.col("event_type")).alias("provider"), (F.col("k") * 10).alias("tokens_in"), F.lit(1).alias("unknown")))
+    raw = F.when(key % 17 == 0, F.substring(line, 1, 14)).when(key % 19 == 0, "  ").when(key % 29 == 0, "[1, 2]").otherwise(line)
+    scanned = logs.scan(events(spark, folder).select(raw.alias("value")), "provider string, tokens_in bigint", "provider")
+    return scanned.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("record.tokens_in").alias("tokens_in"))
+
+
+QUERIES = {f.__name__: f for f in (f10_message_forms, n14_record_forms, a25_counters, s06_usage_scan)}
 SQL = {
     "f10_message_forms": rf"""WITH n AS (SELECT *, trim(regexp_replace(text, '[\t\n\f\r ]+', ' ', 'g')) AS t FROM conversations),
 c AS (SELECT conv_id, arg_max(t, turn) FILTER (role = 'user' AND t <> '') AS u, arg_min(text, turn) AS f, arg_max(text, turn) AS l FROM n GROUP BY conv_id)
@@ -92,4 +115,13 @@ SELECT event_id, ['CNY', 'USD', 'EUR', 'CHF', 'credits', '', 'CNY'][event_id % 7
  CASE event_id % 3 WHEN 0 THEN event_id % 4 <> 1 WHEN 1 THEN event_id % 4 <> 0 ELSE false END AS allowed,
  CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || (s % 60) || 's' ELSE (s // 3600) || 'h' || (s % 3600 // 60) || 'm' END AS duration,
  ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-15' AS yesterday, ts >= TIMESTAMP '2024-01-14 00:00:00' AS hours, event_type AS kind FROM w""",
+    "a25_counters": """WITH e AS (SELECT *, event_id AS i FROM events),
+s AS (SELECT 'tool' AS signal, 'tool_' || event_type || '_' || (i % 3) AS bucket, 1 AS n FROM e UNION ALL SELECT 'mode', ['ask', 'auto', 'dont_ask', 'plan', 'yolo', 'other', 'other'][i % 7 + 1], 1 FROM e
+ UNION ALL SELECT 'value', ['none', 'a_b', 'none'][i % 3 + 1], floor(value)::BIGINT * 100 - 500 FROM e
+ UNION ALL SELECT 'exit', CASE WHEN i % 11 = 0 THEN 'cancelled' WHEN i % 13 > 0 AND i % 7 = 0 THEN 'recovery_paused' WHEN event_type = 'error' THEN 'error' ELSE 'success' END, 1 FROM e
+ UNION ALL SELECT 'latency', CASE WHEN v < 1000 THEN 'lt_1s' WHEN v < 5000 THEN 's_1_5' WHEN v < 15000 THEN 's_5_15' WHEN v < 60000 THEN 's_15_60' WHEN v < 300000 THEN 'm_1_5' WHEN v < 900000 THEN 'm_5_15' ELSE 'm_15_plus' END, 1 FROM (SELECT pow(value, 22e-1) AS v FROM e)
+ UNION ALL SELECT 'provider_error', CASE WHEN i % 3 = 0 THEN '' WHEN i % 4 = 0 THEN CASE WHEN i % 17 = 0 THEN 'http' WHEN i % 600 = 429 THEN 'rate_limit' WHEN i % 600 >= 500 THEN 'server' WHEN i % 600 >= 400 THEN 'request' ELSE 'http' END WHEN i % 4 = 1 THEN 'auth' WHEN i % 4 = 2 THEN 'network' ELSE '' END, 2 FROM e)
+SELECT signal, bucket, least(sum(n), 1000000)::BIGINT AS count FROM s WHERE bucket <> '' AND n > 0 GROUP BY ALL""",
+    "s06_usage_scan": """WITH e AS (SELECT CASE WHEN event_id % 17 = 0 THEN 'corrupt' WHEN event_id % 19 = 0 THEN 'blank' WHEN event_id % 29 = 0 THEN 'corrupt' WHEN event_id % 23 = 0 THEN 'no_key' ELSE 'ok' END AS status, json_extract(props, '$.k')::BIGINT AS k FROM events)
+SELECT status, count(*) AS n, CASE WHEN status = 'ok' THEN sum(k * 10)::BIGINT END AS tokens_in FROM e GROUP BY status""",
 }
