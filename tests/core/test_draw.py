@@ -24,7 +24,7 @@ def plain(rows, n, seed):
     return sorted(i for s, g in groups.items() for _, i in sorted(g)[: seats[s]])
 
 
-@pytest.mark.parametrize("n", [1, 7, 100, 1700, 5000])
+@pytest.mark.parametrize("n", [1, 100, 5000])
 def test_draw_is_exact_for_any_layout(spark, n):
     rows = [(i, "hot" if i % 3 else f"s{i % 17}") for i in range(3000)] + [(9000 + i, None) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
