@@ -121,7 +121,7 @@ def a15_policy_eval(spark: SparkSession, folder: str) -> DataFrame:
     """One threshold against three zones on each query's best two documents; the truth is the best one's label."""
     from ..operators import retrieval
 
-    ranked = retrieval.top_k(retrieval.bm25(questions(spark, folder), slices(spark, folder)), 2, ("query_id",))
+    ranked = retrieval.lexical(questions(spark, folder), slices(spark, folder), 2, ("query_id",))
     tops = ranked.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("top2"), F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("best"))
     judged = tops.join(read(spark, folder, "labels").select(F.col("doc_id").alias("best"), "quality"), "best", "left").withColumn("zone", numeric.winner_zone(F.col("top1"), F.col("top2")))
     wrong = F.coalesce(F.col("quality"), F.lit(0)) != 1
