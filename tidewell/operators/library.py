@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..functions.cuts import cut
+from .retrieval import BROADCAST_BYTES
 
 
 def totals(slices: DataFrame) -> DataFrame:
@@ -168,6 +170,14 @@ def searchable(hits: DataFrame, documents: DataFrame, sources: DataFrame) -> Dat
     return hits.join(documents, "id").join(sources.filter("health = 'ok' AND missing_since = 0"), "path")
 
 
+def opened(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents with `open`: whether `searchable` leaves them. Sources are counted and go to the documents up to BROADCAST_BYTES (128 bytes a
+    row). `documents`: path and more; `sources`: path (once), health, missing_since."""
+    good = cut(sources.filter("health = 'ok' AND missing_since = 0").select("path", F.lit(True).alias("open")))
+    rows = documents.join(F.broadcast(good) if good.count() * 128 <= BROADCAST_BYTES else good, "path", "left")
+    return rows.withColumn("open", F.coalesce("open", F.lit(False)))
+
+
 def evolution_signals(usage: DataFrame) -> DataFrame:
     """(key, seq, epoch, name, value): what usage records tell a threshold engine. `usage`: key, seq, l3_reuse, l3_false_hit,
     tokens_in, cache_hit_tokens, judged (decisions of the last tier), rejected (by its judge).
