@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cuts import cut
 from ..sources.tables import read
 
 
@@ -59,12 +60,17 @@ def preferred(rows: DataFrame) -> DataFrame:
 
 
 def lineage(rows: DataFrame, most: int) -> DataFrame:
-    """(id, root, depth) of sessions (id, parent) by following parents at most `most` times; cycles end there."""
-    rows.createOrReplaceTempView("__lineage")
-    return rows.sparkSession.sql(
-        f"""WITH RECURSIVE r(id, root, depth) AS (SELECT id, id, 0 FROM __lineage WHERE parent IS NULL UNION ALL
-        SELECT c.id, r.root, r.depth + 1 FROM r JOIN __lineage c ON c.parent = r.id WHERE r.depth < {most}) SELECT * FROM r"""
-    )
+    """(id, root, depth) of sessions (id, parent) by following parents at most `most` times; cycles end there. Each step is a join of the
+    sessions reached last with their children, cut by a checkpoint, for any number of rows."""
+    children = cut(rows.filter("parent is not null").select(F.col("id").alias("child"), F.col("parent").alias("id")))
+    last = cut(rows.filter("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
+    out = last
+    for depth in range(1, most + 1):
+        last = cut(last.join(children, "id").select(F.col("child").alias("id"), "root", F.lit(depth).alias("depth")))
+        if last.isEmpty():
+            break
+        out = out.unionAll(last)
+    return out
 
 
 def covers(leaf: str, copy: str):
