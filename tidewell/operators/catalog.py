@@ -16,7 +16,7 @@ def session_rows(spark: SparkSession, folder: str) -> DataFrame:
         k.alias("id"),
         F.col("o_orderpriority").alias("scope"),
         (F.col("o_custkey") % 200).alias("topic"),
-        F.round(F.col("o_totalprice") / 1000).cast("long").alias("turns"),
+        F.rint(F.col("o_totalprice") / 1000).cast("long").alias("turns"),
         F.when(k % 29 == 0, "corrupt").when(k % 31 == 0, "unknown").otherwise("valid").alias("turns_state"),
         (k % 4 == 0).alias("recovered"),
         F.when(k % 12 == 0, "preferred").when(k % 12 == 4, "diverged").when(k % 12 == 8, "covered_copy").otherwise("").alias("role"),
