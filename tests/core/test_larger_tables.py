@@ -9,6 +9,13 @@ from tidewell.operators import catalog, library
 from tidewell.plans import decisions
 
 
+def test_epochs_count_records_not_signals(spark):
+    names = "key long, seq long, l3_reuse boolean, l3_false_hit boolean, tokens_in long, cache_hit_tokens long, judged long, rejected int"
+    usage = spark.createDataFrame([(1, s, s == 4, False, 0 if s == 2 else 10, 5, 3, 1) for s in range(1, 6)], names)
+    rows = library.evolution_signals(usage).select("seq", "epoch", "name").orderBy("seq", "name").collect()
+    assert [tuple(r) for r in rows] == [(s, e, n) for s, e in ((1, 1), (3, 2), (4, 3), (5, 4)) for n in ("hit", "pollution")]
+
+
 def test_lineage_has_no_limit_of_rows(spark):
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "20")

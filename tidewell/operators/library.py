@@ -185,13 +185,14 @@ def evolution_signals(usage: DataFrame) -> DataFrame:
     A reuse is a hit of 1, else the cached share of the input; records with neither are skipped and open no epoch. Records
     with decisions, reuse or a false hit also tell how many decisions were rejections.
     """
-    useful = usage.filter("l3_reuse OR tokens_in > 0")
     epoch = F.row_number().over(Window.partitionBy("key").orderBy("seq")).cast("long")
+    # Numbered before signals are exploded: in one select, Spark numbers the exploded rows.
+    useful = usage.filter("l3_reuse OR tokens_in > 0").withColumn("epoch", epoch)
     hit = F.when(F.col("l3_reuse"), 1.0).otherwise(F.col("cache_hit_tokens") / F.col("tokens_in"))
     bad = F.least((F.col("rejected") + F.col("l3_false_hit").cast("int")) / (F.col("judged") + 1), F.lit(1.0))
     active = (F.col("judged") > 0) | F.col("l3_reuse") | F.col("l3_false_hit")
     signals = F.array(F.struct(F.lit("hit").alias("name"), hit.alias("value")), F.when(active, F.struct(F.lit("pollution").alias("name"), bad.alias("value"))))
-    rows = useful.select("key", "seq", epoch.alias("epoch"), F.explode(F.array_compact(signals)).alias("s"))
+    rows = useful.select("key", "seq", "epoch", F.explode(F.array_compact(signals)).alias("s"))
     return rows.select("key", "seq", "epoch", "s.name", "s.value")
 
 
