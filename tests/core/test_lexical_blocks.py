@@ -49,3 +49,16 @@ def test_equal_ids_and_documents_that_are_no_results(spark):
 def test_scored_where_texts_are_read(spark, name):
     plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "AS df#" not in plan
+
+
+@pytest.mark.parametrize("size", [retrieval.BROADCAST_BYTES, 200])
+def test_nearest_vectors_as_the_loop_finds_them(spark, monkeypatch, size):
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+    vectors = spark.createDataFrame([(i, [float((i * p) % 7 - 3) for p in (1, 2, 5)] + [0.5]) if i else (0, [0.0] * 4) for i in range(90)], "id long, vector array<float>")
+    asked = vectors.filter("id % 9 = 0").withColumnRenamed("id", "query_id")
+    score = F.round(retrieval.numeric.cosine(F.col("q"), F.col("v")), 6).alias("score")
+    pairs = asked.select("query_id", F.col("vector").alias("q")).crossJoin(vectors.select("id", F.col("vector").alias("v"))).select("query_id", "id", score)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()))
+    found = retrieval.vector_search(asked, vectors, 4)
+    assert rows(found) == rows(retrieval.top_k(pairs, 4, ("query_id",)))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
