@@ -11,7 +11,7 @@ from tidewell.operators import retrieval
 WORDS = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "Op", "qr", "st"]
 DATA = "/root/testdata/sf0.001"
 #: Queries whose pairs of query and document must not be joined.
-BLOCKED = ["r01_bm25_topk", "f08_query_coverage", "r03_fuse_weighted", "r04_fuse_rrf", "p05_lexical_gate", "j16_self_search", "r21_dashboard", "r06_bm25_zone", "r07_lookup", "r08_l2_decide", "r18_verify_replay", "r10_inject_plan", "r24_memory_search", "a15_policy_eval", "w02_route_tops", "a30_top_sources", "r09_l3_decide", "w11_recall_blocks", "r15_assembled", "j05_history_join", "r27_history_search"]
+BLOCKED = ["r01_bm25_topk", "f08_query_coverage", "r03_fuse_weighted", "r04_fuse_rrf", "p05_lexical_gate", "j16_self_search", "r21_dashboard", "r06_bm25_zone", "r07_lookup", "r08_l2_decide", "r18_verify_replay", "r10_inject_plan", "r24_memory_search", "a15_policy_eval", "w02_route_tops", "a30_top_sources", "r09_l3_decide", "w11_recall_blocks", "r15_assembled", "j05_history_join", "r27_history_search", "r25_auto_recall"]
 
 
 def _tables(spark):

@@ -44,19 +44,16 @@ def recall(queries: DataFrame, facts: DataFrame, limit: int = 4) -> DataFrame:
     ones count less, a project's own ones more; what scores under RATIO of the best is dropped.
     """
     asked = queries.filter(~generic(F.col("query")))
-    docs = facts.select(F.lit("facts").alias("scope"), "id", "content")
-    scored = retrieval.bm25(asked, docs, text.tokens_bigram)
-    terms = asked.select("query_id", F.explode(text.unique_terms(text.tokens_bigram("query"))).alias("term"))
-    size = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"), F.max(F.char_length("term")).alias("longest"))
-    index = docs.select("id", F.explode(text.unique_terms(text.tokens_bigram("content"))).alias("term"))
-    matched = terms.join(index, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("matched"), F.max(F.char_length("term")).alias("reach"))
-    strong = (F.col("matched") >= 2) | ((F.col("asked") <= 2) & (F.col("reach") >= 6))
-    rows = scored.drop("scope").join(matched, ["query_id", "id"]).join(size, "query_id").filter(strong).join(facts.select("id", "scope", "freshness", "updated"), "id").filter("freshness <> 'expired'")
     factor = F.when(F.col("scope") == "project", PROJECT).otherwise(1.0) * F.when(F.col("freshness") == "stale", STALE).otherwise(1.0)
-    weighed = rows.withColumn("score", F.round(F.col("score") * factor, 6))
-    kept = retrieval.keep_relative(weighed, RATIO)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("updated"), "id")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "id", "score", "freshness")
+    usable = F.coalesce(F.col("freshness") != "expired", F.lit(False))
+    docs = facts.select(F.lit("facts").alias("scope"), "id", "content", usable.alias("open"), factor.alias("factor"), F.coalesce(F.col("updated").cast("long"), F.lit(-(1 << 63))).alias("later"))
+    # Two terms are needed; the one long term of a short query is worth two.
+    worth = F.when((F.col("asked") <= 2) & (F.char_length("term") >= 6), 2).otherwise(1)
+    found = retrieval.bm25_top_k(asked, docs, limit, text.tokens_bigram, points=worth)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("later"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    kept = retrieval.keep_relative(ranked.select("query_id", "rank", "id", "score"), RATIO)
+    return retrieval.behind(kept, facts.select("id", "freshness")).select("query_id", "rank", "id", "score", "freshness")
 
 
 def symbols(rows: DataFrame, kind: str | None, needle: str) -> DataFrame:
