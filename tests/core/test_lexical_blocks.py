@@ -62,3 +62,20 @@ def test_nearest_vectors_as_the_loop_finds_them(spark, monkeypatch, size):
     found = retrieval.vector_search(asked, vectors, 4)
     assert rows(found) == rows(retrieval.top_k(pairs, 4, ("query_id",)))
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [retrieval.BROADCAST_BYTES, 700])
+def test_fields_as_the_join_finds_them(spark, monkeypatch, size):
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+    queries, docs = _tables(spark)
+    docs = docs.select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("cd_ef "), F.col("scope"))).alias("name"), F.concat(F.coalesce("content", F.lit("")), F.lit(" getAb12 漢字")).alias("body"))
+    asked = queries.unionByName(spark.createDataFrame([(90, "getAb12"), (91, "漢字 s1"), (92, "nowhere")], "query_id long, query string"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()), key=str)
+    for docs in (docs, docs.unionAll(docs.filter("id < 9")), docs.unionAll(docs.limit(1).withColumn("id", F.lit(None).cast("long"))), docs.limit(0)):
+        want = retrieval.top_k(retrieval.bm25_fields(asked, docs, ("name", "body")), 4, ("query_id",))
+        assert rows(retrieval.top_k(retrieval.bm25_fields_top_k(asked, docs, ("name", "body"), 4), 4, ("query_id",))) == rows(want)
+
+
+def test_fields_are_scored_where_texts_are_read(spark):
+    plan = __spark_entry__.queries()["r26_bm25f"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS df#" not in plan
