@@ -79,3 +79,29 @@ def test_fields_as_the_join_finds_them(spark, monkeypatch, size):
 def test_fields_are_scored_where_texts_are_read(spark):
     plan = __spark_entry__.queries()["r26_bm25f"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "AS df#" not in plan
+
+
+@pytest.mark.parametrize("size", [retrieval.BROADCAST_BYTES, 700])
+def test_sections_as_the_join_finds_them(spark, monkeypatch, size):
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+    queries, docs = _tables(spark)
+    i = F.col("id")
+    sections = docs.select("id", "content", F.when(i % 4 > 0, F.substring_index("content", " ", 2)).alias("heading"), F.when(i % 3 == 0, "en").otherwise("de").alias("locale"), F.when(i % 37 == 0, "1.2.3").alias("version"))
+    asked = queries.filter("query_id is not null").unionByName(spark.createDataFrame([(90, "v1.2.3 ab"), (91, "AB cd")], "query_id long, query string"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score").collect()))
+    found = rows(retrieval.docs_search(asked, sections, "en", 3))
+    joined = []
+    monkeypatch.setattr(retrieval, "bm25_top_k", lambda *a, **k: joined.append(1))
+    asked_terms = asked.select("query_id", "query", retrieval.text.unique_terms(retrieval.text.tokens("query")).alias("terms"))
+    named = spark.createDataFrame([(90, "1.2.3")], "query_id long, version string")
+    every = retrieval._with_bonuses(asked_terms, named, sections, F.when(F.col("locale") == "en", 1.15).otherwise(1.0)).join(sections.select("id", "content"), "id")
+    said = (F.col("query") != "") & F.contains(F.lower("content"), F.lower(F.trim("query")))
+    final = every.select("query_id", "id", F.round((F.col("plain") + F.when(said, 1.5).otherwise(0.0)) * F.col("factor"), 8).alias("score"))
+    want = rows(retrieval.top_k(retrieval.keep_relative(final, retrieval.FLOOR), 3, ("query_id",)))
+    assert found == want and {r[2] for r in found if r[0] == 90} <= {37, 74, 111, 148, 185, 222} and not joined
+    assert retrieval.docs_search(asked, sections.unionAll(sections.filter("id = 1")), "en", 3).count() > 0 and not joined
+
+
+def test_sections_are_scored_where_texts_are_read(spark):
+    plan = __spark_entry__.queries()["r29_docs_search"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS df#" not in plan
