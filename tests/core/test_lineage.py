@@ -125,3 +125,11 @@ def test_one_group_of_all_and_no_rows(spark):
     rows, texts = case((0, None, False, 0), *[(i, 0, True, i % 3) for i in range(1, 300)], texts={0: "a", **{i: "a" + "b" * (1 + i % 4) for i in range(1, 300)}})
     assert found(spark, rows, texts) == plain(rows, texts)
     assert found(spark, {}, {}) == []
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    """A circle of 200: eight rounds. The product of the sides of all joins would be a number of hundreds of digits."""
+    rows = spark.createDataFrame([(i, (i + 1) % 200, True) for i in range(200)], "id long, parent long, recovered boolean")
+    found = lineage.origins(rows)
+    assert {tuple(r) for r in found.collect()} == {(i, 0, True, False) for i in range(200)}
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**60

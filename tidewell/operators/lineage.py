@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cuts import cut
+from ..functions.cuts import stored
 
 _CONTENT = ("len", "body", "h", "g")
 
@@ -19,13 +19,20 @@ def prefixes(messages: DataFrame) -> DataFrame:
     """(session, length, h, g): 128 bits of hash for the first `length` messages of each session, for every length from 1.
     `messages`: session, at, role, content. A system message that comes first belongs to no prefix, and sessions that differ
     in it alone are equal."""
+    return _chained(messages).filter("length > 0")
+
+
+def _chained(messages: DataFrame) -> DataFrame:
+    """`prefixes`, and a leading system message as a row of length 0. Messages are hashed where they are read; texts are not exchanged."""
+    mark = F.struct(F.coalesce("role", F.lit("")), F.coalesce("content", F.lit("")))
+    hashed = messages.select("session", "at", F.col("role").eqNullSafe("system").alias("system"), F.xxhash64(mark).alias("x"), F.xxhash64(F.lit(1), mark).alias("y"))
     order = Window.partitionBy("session").orderBy("at")
-    placed = messages.select("session", "at", "role", "content", F.row_number().over(order).alias("n"), F.first("role").over(order).eqNullSafe("system").alias("headed"))
-    body = placed.filter(~(F.col("headed") & (F.col("n") == 1))).withColumn("length", (F.col("n") - F.col("headed").cast("int")).cast("long"))
-    running = Window.partitionBy("session").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.struct("length", F.coalesce("role", F.lit("")), F.coalesce("content", F.lit("")))
+    placed = hashed.withColumn("n", F.row_number().over(order)).withColumn("headed", F.first("system").over(order))
+    length = (F.col("n") - F.col("headed").cast("int")).cast("long")
     # Exclusive or of hashes that contain the place: a running aggregate, which no other order of the messages gives.
-    return body.select("session", "length", F.bit_xor(F.xxhash64(mark)).over(running).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), mark)).over(running).alias("g"))
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    chain = lambda c: F.bit_xor(F.when(length > 0, F.xxhash64(length, F.col(c))).otherwise(0)).over(running)
+    return placed.select("session", length.alias("length"), chain("x").alias("h"), chain("y").alias("g"))
 
 
 def contents(messages: DataFrame, chains: DataFrame) -> DataFrame:
@@ -42,7 +49,7 @@ def origins(rows: DataFrame) -> DataFrame:
     parent, or, where parents go round in a circle, the least id of that circle, whose members are `in_cycle`.
 
     Each round doubles the distance that a pointer spans and drops what has arrived; when a round drops nothing, only circles
-    and what leads into them are left. Rounds are cut by checkpoints.
+    and what leads into them are left. Rounds are cut by Parquet tables.
     """
     known = rows.select(F.col("id").alias("up"), F.lit(True).alias("there"), F.col("recovered").alias("goes"), F.col("parent").alias("next"))
     stop = lambda goes, following: ~goes | following.isNull()
@@ -50,7 +57,7 @@ def origins(rows: DataFrame) -> DataFrame:
     done = rows.filter(stop(F.col("recovered"), F.col("parent"))).select("id", F.col("id").alias("origin"), F.lit(False).alias("in_cycle"), (~F.col("recovered")).alias("found"))
 
     # First step: parents that are missing or ends themselves.
-    first = cut(open_.join(known, "up", "left"))
+    first = stored(open_.join(known, "up", "left"))
     ended = F.col("there").isNull() | stop(F.col("goes"), F.col("next"))
     done = done.unionByName(first.filter(ended).select("id", F.col("up").alias("origin"), F.lit(False).alias("in_cycle"), (F.col("there").isNotNull() & ~F.coalesce("goes", F.lit(False))).alias("found")))
     # `up` of an open session is another open or just ended session: follow what that one points to.
@@ -60,15 +67,15 @@ def origins(rows: DataFrame) -> DataFrame:
     while pending and pending != before:
         jump = left.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("least").alias("lower"))
         hop = left.join(ends.select(F.col("id").alias("up"), "origin", "found"), "up", "left").join(jump, "up", "left")
-        hop = cut(hop.select("id", F.coalesce("further", "up").alias("up"), F.least("least", F.coalesce("lower", "least")).alias("least"), "origin", "found"))
+        hop = stored(hop.select("id", F.coalesce("further", "up").alias("up"), F.least("least", F.coalesce("lower", "least")).alias("least"), "origin", "found"))
         arrived = hop.filter("origin is not null").select("id", "origin", F.lit(False).alias("in_cycle"), "found")
-        ends = cut(ends.unionByName(arrived))
+        ends = stored(ends.unionByName(arrived))
         left = hop.filter("origin is null").select("id", "up", "least")
         before, pending = pending, left.count()
     # Only circles: go on until every pointer lies in its circle and has seen all of it.
     for _ in range(pending.bit_length() if pending else 0):
         jump = left.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("least").alias("lower"))
-        left = cut(left.join(jump, "up").select("id", F.col("further").alias("up"), F.least("least", "lower").alias("least")))
+        left = stored(left.join(jump, "up").select("id", F.col("further").alias("up"), F.least("least", "lower").alias("least")))
     if not pending:
         return ends
     circle = left.select(F.col("up").alias("id")).distinct().join(left.select("id", F.col("least").alias("origin")), "id")
@@ -87,14 +94,17 @@ def classify(rows: DataFrame, messages: DataFrame) -> DataFrame:
     ones count as none; a session without messages covers nothing and is covered by nothing. Sessions that were not recovered are
     visible; of a group whose origin is missing, the canonical one is.
     """
-    chains = prefixes(messages)
-    content = contents(messages, chains)
+    # Read four times below: places and hashes of all messages, and one row a session.
+    every = stored(_chained(messages))
+    chains = every.filter("length > 0")
+    content = stored(contents(every, chains))
+    rows = stored(rows)
     base = rows.join(origins(rows), "id").join(content.withColumnRenamed("session", "id"), "id", "left")
     at = chains.select(F.col("session").alias("parent"), F.col("length").alias("body"), "h", "g").withColumn("same", F.lit(True))
     holds = content.select(F.col("session").alias("parent"), F.lit(True).alias("parent_there"))
     base = base.join(holds, "parent", "left").join(at, ["parent", "body", "h", "g"], "left")
     empty = F.col("body").eqNullSafe(0) & F.coalesce("parent_there", F.lit(False))
-    base = cut(base.withColumn("early", F.col("recovered") & (F.coalesce("same", F.lit(False)) | empty)).drop("same", "parent_there"))
+    base = stored(base.withColumn("early", F.col("recovered") & (F.coalesce("same", F.lit(False)) | empty)).drop("same", "parent_there"))
 
     members = base.filter(F.col("recovered") & ~F.col("early"))
     groups = members.groupBy("origin").agg(
